@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of a key table that may be broadcast; beyond it the same join is shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -54,6 +55,11 @@ def held_out(id_col: str, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds == fold
 
 
+def schema_with(df: DataFrame, fields: str) -> T.StructType:
+    """The schema of ``df`` with further fields (a DDL string)."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(fields).fields])
+
+
 def slices(texts: list[str | None], chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``chars`` characters, one row at least."""
     begin, size = 0, 0
@@ -78,12 +84,10 @@ def map_texts(
     ``start`` runs once in a task and returns the scorer, which takes a list of texts and returns one
     sequence for each field of ``results`` (a DDL string). A carried column named like a result is left out.
     """
-    schema = docs.sparkSession.createDataFrame([], results).schema
-    carry = [c for c in carry if c not in schema.names]
+    names = T.StructType.fromDDL(results).names
+    carry = [c for c in carry if c not in names]
     given = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(text_col).alias("_dw_text"))
-    out = given.drop("_dw_text").schema
-    for f in schema:
-        out = out.add(f)
+    out = schema_with(given.drop("_dw_text"), results)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema

@@ -8,8 +8,9 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docweft.llm.common import map_texts
+from docweft.llm.common import map_texts, schema_with
 
 WINDOW = 13
 #: All bytes that are no part of a word become spaces; A-Z become a-z. Bytes from 0x80 on are parts of words.
@@ -145,7 +146,7 @@ def find_contamination(
 def _in_parts(docs: DataFrame, items: DataFrame, parts: int, text_col: str, carry: list[str]) -> DataFrame:
     """As above with the items dealt into ``parts``; hit words travel as bitmaps, equal rows stay as many as they were."""
     spark = docs.sparkSession
-    carry = [c for c in carry if c not in {f.name for f in spark.createDataFrame([], RESULT).schema}]
+    carry = [c for c in carry if c not in T.StructType.fromDDL(RESULT).names]
     keyed = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(text_col).alias("_dw_body"), F.xxhash64(text_col).alias("_dw_text_key"))
     found = None
     for k in range(parts):
@@ -188,8 +189,5 @@ def _in_parts(docs: DataFrame, items: DataFrame, parts: int, text_col: str, carr
                 names=[*carry, "_dw_rows", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
             )
 
-    schema = groups.select(*[F.col(f"`{c}`") for c in carry], "_dw_rows").schema
-    for f in spark.createDataFrame([], RESULT).schema:
-        schema = schema.add(f)
-    made = groups.mapInArrow(unite, schema)
+    made = groups.mapInArrow(unite, schema_with(groups.select(*[F.col(f"`{c}`") for c in carry], "_dw_rows"), RESULT))
     return made.withColumn("_dw_rows", F.explode(F.array_repeat(F.lit(0), F.col("_dw_rows")))).drop("_dw_rows")
