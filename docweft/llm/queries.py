@@ -1,6 +1,6 @@
 """All queries of this subpackage and their SQL, as ``__spark_entry__`` registers them."""
 
-from docweft.llm import queries_lines, queries_native, queries_text
+from docweft.llm import queries_lines, queries_native, queries_packing, queries_text
 
-QUERIES = {**queries_native.QUERIES, **queries_text.QUERIES, **queries_lines.QUERIES}
+QUERIES = {**queries_native.QUERIES, **queries_text.QUERIES, **queries_lines.QUERIES, **queries_packing.QUERIES}
 SQL = {**queries_native.SQL, **queries_text.SQL, **queries_lines.SQL}

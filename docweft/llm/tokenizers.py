@@ -44,12 +44,13 @@ class PieceEncoder:
             tokenizer = Tokenizer.from_file(path)
             tokenizer.no_truncation()
             tokenizer.no_padding()
+            self.n_ids = max(tokenizer.get_vocab(with_added_tokens=True).values()) + 1
             self.encode = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         elif path.endswith(".model"):
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.by_piece = False
+            self.by_piece, self.n_ids = False, model.get_piece_size()
             self.encode = lambda texts: model.encode(texts, num_threads=1)
         else:
             import base64
@@ -63,6 +64,7 @@ class PieceEncoder:
             with open(path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             coder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+            self.n_ids = max(ranks.values()) + 1
             self.by_piece = r" ?\p{L}+" in pattern and r"\s+(?!\S)" in pattern
             self.encode = lambda texts: [coder.encode_ordinary(t) for t in texts]
 
