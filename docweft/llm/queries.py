@@ -1,6 +1,7 @@
 """All queries of this subpackage and their SQL, as ``__spark_entry__`` registers them."""
 
-from docweft.llm import queries_lines, queries_native, queries_packing, queries_text
+from docweft.llm import queries_join, queries_lines, queries_native, queries_packing, queries_text
 
-QUERIES = {**queries_native.QUERIES, **queries_text.QUERIES, **queries_lines.QUERIES, **queries_packing.QUERIES}
-SQL = {**queries_native.SQL, **queries_text.SQL, **queries_lines.SQL}
+MODULES = (queries_text, queries_native, queries_join, queries_lines, queries_packing)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+SQL = {name: sql for m in (queries_text, queries_native, queries_lines) for name, sql in m.SQL.items()}

@@ -18,7 +18,7 @@ SEED = 17
 
 def source_domain(source: Column) -> Column:
     """The domain that a source's trailing number stands for; sources without a number belong to the last."""
-    number = F.expr("try_cast(nullif(regexp_extract(source, '([0-9]{1,9})$', 1), '') as int)")
+    number = F.nullif(F.regexp_extract(source, "([0-9]{1,9})$", 1), F.lit("")).try_cast("int")
     return F.element_at(F.array(*map(F.lit, DOMAINS)), F.coalesce(number % 3, F.lit(2)) + 1)
 
 
