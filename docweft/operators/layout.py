@@ -1,14 +1,17 @@
 """Page layout from regions.
 
 Regions: ``doc_id, page, id, x1, y1, x2, y2, text, confidence``. Everything is by page; only line grouping and table anchors, whose
-greedy order no window expresses, run as pandas functions, one page at a time.
+greedy order no window expresses, run in Python, one page at a time.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docweft.operators.pages import PAGE
 
@@ -41,9 +44,45 @@ def columns(regions: DataFrame, *, least_regions: int = 2, gap: int = 24) -> Dat
     return out.drop("_new", "_island", "_size", "_all", "_kept", "_rank", "_n")
 
 
-def _group_lines(page: pd.DataFrame, tolerance: int) -> list[list[dict]]:
+def _each_page(regions: DataFrame, solve: Callable[[list[dict]], list[tuple]], fields: str) -> DataFrame:
+    """Rows that ``solve`` gives for the regions of each page, after the page's key.
+
+    Pages are dealt by key and sorted in their partitions, then streamed, so that a page costs its regions and no call of its own.
+    """
+    some = regions.select(*PAGE, "id", "x1", "y1", "x2", "y2")
+    kinds = {f.name: f.dataType.simpleString() for f in some.schema}
+    schema = T.StructType.fromDDL(", ".join([*(f"{c} {kinds[c]}" for c in PAGE), fields.replace("ID", kinds["id"])]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * len(arrow)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+
+        key, page, out = None, [], []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if (now := (r["doc_id"], r["page"])) != key:
+                    if page:
+                        out += [(*key, *row) for row in solve(page)]
+                    key, page = now, []
+                page.append(r)
+            if len(out) >= 10_000:
+                yield made(out)
+                out = []
+        if page:
+            out += [(*key, *row) for row in solve(page)]
+        yield made(out)
+
+    parts = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return some.repartition(parts, *PAGE).sortWithinPartitions(*PAGE).mapInArrow(run, schema)
+
+
+def _group_lines(rows: list[dict], tolerance: int) -> list[list[dict]]:
     lines: list[list[dict]] = []
-    rows = page.to_dict("records")
     for r in rows:
         r["cy"] = (r["y1"] + r["y2"]) / 2
     for r in sorted(rows, key=lambda r: (r["cy"], r["x1"], r["id"])):
@@ -68,14 +107,10 @@ def lines(regions: DataFrame, *, tolerance: int = 12) -> DataFrame:
     """``doc_id, page, id, line, place``: regions in visual lines (both from 0), each joined to the nearest line whose leftmost region
     is within ``tolerance`` of its centre or overlaps it by half."""
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        made = _group_lines(page, tolerance)
-        rows = [(r["doc_id"], r["page"], r["id"], i, j) for i, line in enumerate(made) for j, r in enumerate(line)]
-        return pd.DataFrame(rows, columns=["doc_id", "page", "id", "line", "place"])
+    def solve(page: list[dict]) -> list[tuple]:
+        return [(r["id"], i, j) for i, line in enumerate(_group_lines(page, tolerance)) for j, r in enumerate(line)]
 
-    some = regions.select(*PAGE, "id", "x1", "y1", "x2", "y2")
-    kinds = {f.name: f.dataType.simpleString() for f in some.schema}
-    return some.groupBy(*PAGE).applyInPandas(run, f"doc_id {kinds['doc_id']}, page {kinds['page']}, id {kinds['id']}, line int, place int")
+    return _each_page(regions, solve, "id ID, line int, place int")
 
 
 def reading_order(regions: DataFrame, *, tolerance: int = 12) -> DataFrame:
@@ -101,7 +136,7 @@ def line_texts(regions: DataFrame, placed: DataFrame) -> DataFrame:
 def table_anchors(regions: DataFrame, *, tolerance: int = 12, least_rows: int = 2, width: int = 12) -> DataFrame:
     """``doc_id, page, column_index, x, support_rows``: left edges that ``least_rows`` lines share."""
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
+    def solve(page: list[dict]) -> list[tuple]:
         made = _group_lines(page, tolerance)
         anchors: list[int] = []
         for line in made:
@@ -110,12 +145,9 @@ def table_anchors(regions: DataFrame, *, tolerance: int = 12, least_rows: int =
                     anchors.append(r["x1"])
         support = {a: sum(any(abs(r["x1"] - a) <= width for r in line) for line in made) for a in anchors}
         kept = [a for a in sorted(anchors) if support[a] >= least_rows] if len(made) >= least_rows else []
-        first = page.iloc[0]
-        return pd.DataFrame([(first.doc_id, first.page, i, a, support[a]) for i, a in enumerate(kept)], columns=["doc_id", "page", "column_index", "x", "support_rows"])
+        return [(i, a, support[a]) for i, a in enumerate(kept)]
 
-    some = regions.select(*PAGE, "id", "x1", "y1", "x2", "y2")
-    kinds = {f.name: f.dataType.simpleString() for f in some.schema}
-    return some.groupBy(*PAGE).applyInPandas(run, f"doc_id {kinds['doc_id']}, page {kinds['page']}, column_index int, x int, support_rows int")
+    return _each_page(regions, solve, "column_index int, x int, support_rows int")
 
 
 def table_evidence(placed: DataFrame, anchors: DataFrame, *, least_rows: int = 2) -> DataFrame:

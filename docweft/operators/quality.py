@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docweft.functions.text import strip
 
@@ -16,7 +17,7 @@ def char_error_rate(actual: Column, expected: Column) -> Column:
     return F.when(expected == "", F.when(actual == "", 0.0).otherwise(1.0)).otherwise(F.levenshtein(actual, expected) / F.length(expected))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def word_error_rate(actual: pd.Series, expected: pd.Series) -> pd.Series:
     """edits by word over the expected number of words, two rows of the table at a time."""
 

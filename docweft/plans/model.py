@@ -130,7 +130,8 @@ AUDITS_SQL = """a AS (SELECT user_id AS document_id, 'c' || (event_id % 4) AS ch
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as regions of one page an order."""
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber")
+    li = li.agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_discount")])
     x = F.when(F.col("l_linenumber") % 2 == 1, 10).otherwise(250) + F.col("l_partkey") % 20
     y = F.col("l_linenumber") * 25 + F.col("l_suppkey") % 9
     return li.select(
@@ -143,11 +144,12 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
         (y + 20).cast("int").alias("y2"),
         F.concat(F.lit("w"), "l_partkey").alias("text"),
         F.when(F.col("l_linenumber") % 5 != 0, F.round(1 - F.col("l_discount") * 5, 2)).alias("confidence"),
-    ).dropDuplicates(["doc_id", "page", "id"])
+    )
 
 
 REGIONS_SQL = """r AS (SELECT l_orderkey AS doc_id, 1 AS page, l_linenumber AS id,
   CAST((CASE WHEN l_linenumber % 2 = 1 THEN 10 ELSE 250 END) + l_partkey % 20 AS INT) AS x1, CAST(l_linenumber * 25 + l_suppkey % 9 AS INT) AS y1,
   CAST((CASE WHEN l_linenumber % 2 = 1 THEN 10 ELSE 250 END) + l_partkey % 20 + 60 + l_partkey % 50 AS INT) AS x2,
   CAST(l_linenumber * 25 + l_suppkey % 9 + 20 AS INT) AS y2, 'w' || l_partkey AS text,
-  CASE WHEN l_linenumber % 5 <> 0 THEN round(1 - l_discount * 5, 2) END AS confidence FROM lineitem)"""
+  CASE WHEN l_linenumber % 5 <> 0 THEN round(1 - l_discount * 5, 2) END AS confidence
+  FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_discount) AS l_discount FROM lineitem GROUP BY ALL))"""
