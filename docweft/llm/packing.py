@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweft.llm.common import schema_with
-from docweft.llm.tokenizers import PieceEncoder
+from docweft.llm.tokenizers import encoder_for
 
 
 class FreeSpace:
@@ -112,13 +112,14 @@ def pack(
         from pyspark.sql.pandas.types import to_arrow_schema
 
         fields = to_arrow_schema(schema)
-        encoder = PieceEncoder(tokenizer)
+        encoder = encoder_for(tokenizer)
         shard, ids, texts, held = None, [], [], []
 
         def encode() -> None:
             """Keep ids instead of texts."""
+            end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
             for i, data in zip(ids, encoder.ids_of(texts), strict=True):
-                held.append((i, np.frombuffer(data, "<i4") if end_id is None else np.append(np.frombuffer(data, "<i4"), np.int32(end_id))))
+                held.append((i, np.frombuffer(data + end, "<i4")))
             ids.clear()
             texts.clear()
 
@@ -166,7 +167,7 @@ def pack(
 
 def id_bytes(tokenizer: str, end_id: int | None = None, pad_id: int = 0) -> int:
     """2 if every id of the tokenizer and the two given ones fit in 16 bits, else 4."""
-    most = max(PieceEncoder(tokenizer).n_ids - 1, end_id or 0, pad_id)
+    most = max(encoder_for(tokenizer).n_ids - 1, end_id or 0, pad_id)
     return 2 if most < 1 << 16 else 4
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweft.llm.common import table
+from docweft.llm.common import table, tuned
 from docweft.llm.packing import pack
 from docweft.llm.queries_text import tokenizer_path
 
@@ -15,6 +15,7 @@ END_ID = 50256
 
 
 def op9_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned(spark)
     return pack(table(spark, sf_dir, "documents"), tokenizer=tokenizer_path(TOKENIZER), row_tokens=ROW_TOKENS, end_id=END_ID)
 
 
