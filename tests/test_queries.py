@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from docweft.plans import more_queries  # noqa: F401  registers its queries
 from docweft.plans.queries import QUERIES, SQL
 from verify_queries import canonical
 
