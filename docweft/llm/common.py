@@ -14,7 +14,17 @@ from pyspark.sql import types as T
 #: Rows of a key table that may be broadcast; beyond it the same join is shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Texts are handed to a scorer in slices of about this many characters.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
+
+
+#: Rows in an Arrow batch: ten thousand texts, Spark's default, are too many for small executors.
+BATCH_ROWS = 2_000
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """The session with batches of texts that fit small executors; jobs call this once, operators leave the session alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,15 +96,17 @@ def map_texts(
     """
     names = T.StructType.fromDDL(results).names
     carry = [c for c in carry if c not in names]
-    given = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(text_col).alias("_dw_text"))
-    out = schema_with(given.drop("_dw_text"), results)
+    kept = docs.select(*[F.col(f"`{c}`") for c in carry])
+    # a text that is carried along travels once
+    given = kept if text_col in carry else docs.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text_col}`").alias("_dw_text"))
+    at, out = carry.index(text_col) if text_col in carry else len(carry), schema_with(kept, results)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         fields, score = to_arrow_schema(out), start()
         for batch in batches:
-            texts = batch.column(len(carry)).to_pylist()
+            texts = batch.column(at).to_pylist()
             for a, b in slices(texts):
                 made = score(texts[a:b])
                 kept = [batch.column(i).slice(a, b - a).cast(fields.field(i).type) for i in range(len(carry))]
@@ -103,5 +115,6 @@ def map_texts(
                     for i, x in enumerate(made)
                 ]
                 yield pa.RecordBatch.from_arrays(kept + made, schema=fields)
+        pa.default_memory_pool().release_unused()
 
     return given.mapInArrow(run, out)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweft.llm.common import table
+from docweft.llm.common import table, tuned
 from docweft.llm.line_dedup import line_digests, line_drops, with_bitmaps
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned(spark)
     docs = table(spark, sf_dir, "documents")
     return line_digests(with_bitmaps(docs, line_drops(docs, min_docs=10, min_chars=1)))
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from docweft.llm import language_id, quality, toxicity
-from docweft.llm.common import held_out, shared_dir, table
+from docweft.llm.common import held_out, shared_dir, table, tuned
 from docweft.llm.decontaminate import find_contamination
 from docweft.llm.token_counts import count_tokens
 
@@ -21,6 +21,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned(spark)
     docs, labels, out = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out("doc_id", 5, 0)
     model = toxicity.fit(docs, labels.where(~out))
     return toxicity.score_toxicity(docs.select("doc_id", "text").withColumn("held_out", out), model, carry=["doc_id", "held_out"])
@@ -28,11 +29,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts from an empty cache, so that every distinct text is encoded once here."""
+    tuned(spark)
     cache = f"{shared_dir(spark)}/docweft/token-cache-{uuid.uuid4().hex}"
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer=tokenizer_path(), cache=cache)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return find_contamination(docs, table(spark, sf_dir, "benchmark"), carry=["doc_id"])
 
@@ -54,12 +57,14 @@ FROM d LEFT JOIN hw USING (rid) LEFT JOIN it USING (rid)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned(spark)
     docs, labels, out = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out("doc_id", 3, 1)
     model = quality.fit(docs, labels.where(~out))
     return quality.score_quality(docs.select("doc_id", "text").withColumn("held_out", out), model, carry=["doc_id", "held_out"])
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned(spark)
     docs, out = table(spark, sf_dir, "documents"), held_out("doc_id", 4, 2)
     model = language_id.fit(docs.where(~out))
     return language_id.identify(docs.select("doc_id", "text").withColumn("held_out", out), model, carry=["doc_id", "held_out"])

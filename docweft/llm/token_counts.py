@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweft.llm.common import checked_broadcast, map_texts, stored
-from docweft.llm.tokenizers import PieceEncoder
+from docweft.llm.tokenizers import encoder_for
 
 CACHE = "content binary, tokenizer string, n_tokens long"
 
@@ -67,10 +67,11 @@ def count_tokens(
     missing = missing.join(skips, same, "left_anti")
 
     def start():
-        encoder = PieceEncoder(tokenizer)
+        encoder = encoder_for(tokenizer)
         return lambda texts: [encoder.counts(texts)]
 
     counted = map_texts(missing, "text", ["content"], "n_tokens long", start)
+    counted = counted.dropDuplicates(["content"])  # rows that repeat id and text were encoded side by side
     counted.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     counts = read_cache(spark, cache, version)
     return rows.join(counts, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
