@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweft.llm import language_id
-from docweft.llm.common import checked_broadcast, stored, table
+from docweft.llm.common import checked_broadcast, stored, table, tuned
 from docweft.llm.decontaminate import find_contamination
 from docweft.llm.jaccard_join import jaccard_join
 from docweft.llm.mixing import mix
@@ -38,6 +38,7 @@ def kept(rows: DataFrame, names: dict[str, str]) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn the languages from the labelled rows; rows without letters and ties between languages go."""
+    tuned(spark)
     rows, names = renamed(docs)
     model = language_id.fit(docs)
     judged = language_id.identify(rows, model, text_col=names["text"], carry=list(names.values()))
@@ -46,6 +47,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that 5-word shingle Jaccard of 0.75 or more links, the row with the smallest id stays."""
+    tuned(spark)
     joined = jaccard_join(docs)
     gone = stored(joined.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
     return docs.join(checked_broadcast(gone), "doc_id", "left_anti").select(*docs.columns)
@@ -53,6 +55,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of which a twentieth of the words or more lies in benchmark passages go."""
+    tuned(spark)
     rows, names = renamed(docs)
     judged = find_contamination(rows, table(spark, sf_dir, "benchmark"), text_col=names["text"], carry=list(names.values()))
     return kept(judged.where("NOT contaminated"), names)
@@ -79,6 +82,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of token ids, packed best fit decreasing."""
+    tuned(spark)
     return pack(docs, tokenizer=tokenizer_path(TOKENIZER), row_tokens=ROW_TOKENS, end_id=END_ID)
 
 
