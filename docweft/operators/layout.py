@@ -114,16 +114,20 @@ def lines(regions: DataFrame, *, tolerance: int = 12) -> DataFrame:
 
 
 def reading_order(regions: DataFrame, *, tolerance: int = 12) -> DataFrame:
-    """Adds ``line, column, position``: line by line, or column by column where there are two columns or more."""
+    """Adds ``line, column, position``: line by line, or column by column where there are two columns or more; a page of one
+    line is read by its regions' places alone."""
     placed = columns(regions).join(lines(regions, tolerance=tolerance), [*PAGE, "id"])
-    by_column = F.col("column_count") >= 2
+    one_line = F.max("line").over(Window.partitionBy(*PAGE)) == 0
+    placed = placed.withColumn("_one", one_line)
+    by_column = (F.col("column_count") >= 2) & ~F.col("_one")
+    by_place = by_column | F.col("_one")
     order = Window.partitionBy(*PAGE).orderBy(
         F.when(by_column, F.col("column")).otherwise(0),
-        F.when(by_column, F.col("y1")).otherwise(F.col("line")),
-        F.when(by_column, F.col("x1")).otherwise(F.col("place")),
+        F.when(by_place, F.col("y1")).otherwise(F.col("line")),
+        F.when(by_place, F.col("x1")).otherwise(F.col("place")),
         "id",
     )
-    return placed.withColumn("position", F.row_number().over(order) - 1)
+    return placed.withColumn("position", F.row_number().over(order) - 1).drop("_one")
 
 
 def line_texts(regions: DataFrame, placed: DataFrame) -> DataFrame:
