@@ -146,7 +146,7 @@ def line_drops(
     if keep_first:
         lines = lines.dropDuplicates(["h1", "h2", "doc_id", "text_key"])
     lines = stored(lines, "line-digests")
-    ranges = max(1, -(-lines.count() // lines_per_range))
+    ranges = min(50_000, max(1, -(-lines.count() // lines_per_range)))  # more would burden the driver
     ordered = lines.repartitionByRange(ranges, "h1", "h2", "doc_id", "text_key").sortWithinPartitions("h1", "h2", "doc_id", "text_key")
     out = schema_with(lines, "kind int, part int, n long")
 
