@@ -18,12 +18,14 @@ TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 def grams(text: str | None) -> set:
     """The set of a text's n-grams: tokens (words or runs of signs, lower case), pairs of neighbours, and pairs of
-    neighbours by shape. A token that repeats its predecessor gives the pair ("=", "=")."""
+    neighbours by shape. Three equal tokens in a row give the pair ("=", "=")."""
     found = TOKEN.findall(text or "")
     tokens = [x.lower() for x in found]
     shapes = [("A" if x.isupper() and len(x) > 1 else "a" if x[0].isalpha() else "0" if x[0].isdigit() else x) for x in found]
     out = set(tokens)
-    out.update(("=", "=") if a == b else (a, b) for a, b in zip(tokens, tokens[1:], strict=False))
+    out.update(zip(tokens, tokens[1:], strict=False))
+    if any(a == b == c for a, b, c in zip(tokens, tokens[1:], tokens[2:], strict=False)):
+        out.add(("=", "="))
     out.update((0, *p) for p in zip(shapes, shapes[1:], strict=False))
     return out
 
@@ -103,9 +105,9 @@ def fit(
     *,
     label_col: str = "quality",
     per_label: int = 2500,
-    features: int = 20_000,
-    min_rows: int = 3,
-    c: float = 0.1,
+    features: int = 5_000,
+    min_rows: int = 5,
+    c: float = 0.03,
     epochs: int = 30,
     seed: int = 1,
 ) -> Model:
