@@ -64,7 +64,7 @@ def fit(
     text_col: str = "text",
     id_col: str = "doc_id",
     rows_per_lang: int = 800,
-    chars_per_row: int = 2000,
+    chars_per_row: int = 400,
     dictionary_bytes: int = 65_536,
     max_langs: int = 200,
 ) -> Model:
