@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import random
 
 import pytest
 from docweft.operators import checks, compare, dedup, deliver, hooks, layout, lifecycle, pages, publish, quality, search, vocab
@@ -166,6 +167,34 @@ def test_quality_rates(spark):
     assert round(got["d"].wer, 4) == round(1 / 3, 4) and got["e"].cer is None and got["e"].skipped == "longer than 15" and got["f"].wer is None
 
 
+def test_edit_distance_is_exact():
+    def brute(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(5)
+    for n in range(300):
+        a, b = ("".join(rng.choice("abcé") for _ in range(rng.randrange(40))) for _ in range(2))
+        assert quality.edit_distance(a, b, block=1 + n % 9) == quality.edit_distance(list(a), list(b)) == brute(a, b)
+
+
+def test_long_pairs_have_rates(spark):
+    words = [f"w{i % 97}" for i in range(3000)]
+    changed = [w if i % 10 else "x" for i, w in enumerate(words)]
+    pairs = spark.createDataFrame([("long", " ".join(changed), " ".join(words)), ("same", "a", "a"), ("half", None, "z" * 6000)], "case_id string, actual string, expected string")
+    rates = quality.error_rates(pairs)
+    got = {r.case_id: r for r in rates.collect()}
+    assert len(got) == 3 and all(r.skipped is None for r in got.values()) and got["half"].cer is None
+    assert got["long"].word_edits == 300 and got["long"].wer == 0.1 and len(" ".join(words)) > quality.LONGEST
+    assert got["long"].cer == quality.edit_distance(" ".join(changed), " ".join(words)) / len(" ".join(words))
+    pooled = quality.corpus_rates(rates.withColumn("by", F.lit(1)), "by").first()
+    assert pooled.cases == 3 and pooled.pooled_wer == 300 / 3001 and pooled.mean_wer == 0.05
+
+
 def test_vocabulary(spark):
     d = spark.createDataFrame([("alpha beta",), ("alphabet",), ("gamma, ALPHA",), ("",)], "t string")
     got = [r[0] for r in d.select(vocab.resolve(F.col("t"), {"a": ["alpha", "alpha beta"], "g": ["gamma"]})).collect()]
