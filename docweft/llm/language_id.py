@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,10 @@ from docweft.llm.common import map_texts
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: Zeros after each block: they cost the same for every dictionary and keep short blocks from being stored raw.
 FILLER = bytes(48)
+#: Encoded sizes in bytes from which on a text has the least margin of its class.
+CLASSES = [16 << i for i in range(10)]
+#: Characters of a language, of rows kept out of its dictionary, that its margins are set from.
+OUTSIDE = 200_000
 
 
 def letters(text: str | None) -> bytes:
@@ -21,15 +26,35 @@ def letters(text: str | None) -> bytes:
 
 
 class Model:
-    """Per language: dictionary bytes and the number of training rows. ``langs`` is in order of preference on ties."""
+    """Per language: dictionary bytes, the number of training rows and, for each of ``CLASSES``, the least margin for
+    each encoded byte that is not rejected (``calibrate``). ``langs`` is in order of preference on ties."""
 
     def __init__(self, dictionaries: dict[str, bytes], rows: dict[str, int], block: int = 8192):
         self.langs = sorted(dictionaries, key=lambda x: (-rows[x], x))
         self.dictionaries = [dictionaries[x] for x in self.langs]
         self.block = block
+        self.least: dict[str, list[float]] = {}
+
+    def needed(self, lang: str, size: int) -> float:
+        """Least margin in bytes for a text of ``size`` encoded bytes; below the first class and without calibration only ties fail."""
+        at = bisect_right(CLASSES, size) - 1
+        return max(1.0, self.least[lang][at] * size) if at >= 0 and lang in self.least else 1.0
+
+    def calibrate(self, margins: list[tuple[str, int, int]], share: float = 0.5, tail: float = 0.02) -> None:
+        """Set ``least`` from (language, encoded bytes, margin) of rightly judged texts that no dictionary holds: ``share`` of the margin
+        for each encoded byte that all but ``tail`` of a language's texts of a class reach. A class with under three texts has half of what the class below it has."""
+        found: dict[tuple[str, int], list[float]] = {}
+        for lang, size, margin in margins:
+            found.setdefault((lang, bisect_right(CLASSES, size) - 1), []).append(margin / size)
+        for lang in {x for x, _ in found}:
+            self.least[lang], last = [], 0.0
+            for at in range(len(CLASSES)):
+                some = sorted(found.get((lang, at), []))
+                last = share * some[int(tail * len(some))] if len(some) >= 3 else last / 2
+                self.least[lang].append(last)
 
     def scorer(self):
-        """A function from texts to (lang, score, margin in bytes, rejected by ``min_margin`` is up to the caller)."""
+        """A function from texts to (lang, score, margin in bytes, least encoded size)."""
         import zstandard as z
 
         params = z.ZstdCompressionParameters(
@@ -42,17 +67,17 @@ class Model:
             raw.precompute_compress(compression_params=params)
             coders.append(z.ZstdCompressor(dict_data=raw, compression_params=params).compress)
 
-        def one(text: str | None) -> tuple[str, float, int]:
+        def one(text: str | None) -> tuple[str, float, int, int]:
             data = letters(text)
             if not data or not coders:
-                return "und", 0.0, 0
+                return "und", 0.0, 0, 0
             blocks = [data[i : i + self.block] + FILLER for i in range(0, len(data), self.block)]
             sizes = [sum(len(encode(b)) for b in blocks) for encode in coders]
             least = min(sizes)
             best = sizes.index(least)
             margin = min((s for i, s in enumerate(sizes) if i != best), default=least + len(data)) - least
             score = 1 / sum(math.exp((least - s) * math.log(2)) for s in sizes)
-            return self.langs[best], score, margin
+            return self.langs[best], score, margin, least
 
         return one
 
@@ -70,6 +95,7 @@ def fit(
 ) -> Model:
     """Dictionaries from a bounded sample: for each language the ``rows_per_lang`` rows first in order of md5(id), of
     which each gives at most ``chars_per_row`` characters of its text to the dictionary (so no one row fills it).
+    An eighth of them stays out: the margins of their texts set the least margins by language and size (``Model.calibrate``).
 
     Rows are counted over all of ``docs``. Languages are those of the ``max_langs`` most frequent labels;
     rows with null label or text teach nothing. The sample is chosen by bounded heaps in the tasks
@@ -79,8 +105,10 @@ def fit(
     known = known.select(
         F.col(lang_col).cast("string").alias("lang"),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("place"),
-        F.substring(text_col, 1, chars_per_row).alias("piece"),
+        F.col(text_col).alias("text"),
     )
+    kept_out = F.substring("place", -1, 1).isin("0", "1")  # an eighth of the rows
+    known = known.select("lang", "place", kept_out.alias("kept_out"), F.substring("text", 1, F.when(kept_out, 16_384).otherwise(chars_per_row)).alias("piece"))
     rows = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
     # the first hex digits of the digest keep about twice the rows needed, so that no window sees a whole language
     bound = {x: max(1, min(4096, math.ceil(4096 * 3 * (rows_per_lang + 10) / n))) for x, n in rows.items()}
@@ -91,12 +119,35 @@ def fit(
     taken = known.where(few).withColumn("at", F.row_number().over(order)).where(F.col("at") <= rows_per_lang)
     text: dict[str, list[bytes]] = {}
     size: dict[str, int] = {}
+    outside: dict[str, str] = {}
     for r in taken.orderBy("lang", "at").toLocalIterator():
-        if size.get(r["lang"], 0) < dictionary_bytes and (data := letters(r["piece"])):
+        if r["kept_out"] and rows[r["lang"]] >= 16:
+            if len(outside.get(r["lang"], "")) < OUTSIDE:
+                outside[r["lang"]] = f"{outside.get(r['lang'], '')} {letters(r['piece']).decode()}".strip()
+        elif size.get(r["lang"], 0) < dictionary_bytes and (data := letters(r["piece"])):
             text.setdefault(r["lang"], []).append(data)
             size[r["lang"]] = size.get(r["lang"], 0) + len(data) + 1
     joined = {x: b" ".join(t)[:dictionary_bytes] for x, t in text.items()}
-    return Model({x: t for x, t in joined.items() if len(t) >= 8}, rows)
+    model = Model({x: t for x, t in joined.items() if len(t) >= 8}, rows)
+    most = max(8, min(60, 1200 // max(1, len(outside))))
+    cut = [(x, t[i : i + c]) for c in (16 << i for i in range(11)) for x, t in sorted(outside.items()) for i in range(0, min(len(t) - c + 1, most * c), c)]
+    if cut:
+        spark = docs.sparkSession
+        tests = spark.createDataFrame(cut[::2] + cut[1::2], "lang string, text string").repartition(32)
+        sent = spark.sparkContext.broadcast(model)
+
+        def start():
+            one = sent.value.scorer()
+
+            def score(texts):
+                made = [one(t) for t in texts]
+                return [[m[k] for m in made] for k in (0, 2, 3)]
+
+            return score
+
+        judged = map_texts(tests, "text", ["lang"], "lang_pred string, margin long, size long", start)
+        model.calibrate([(r["lang"], r["size"], r["margin"]) for r in judged.where("lang = lang_pred").collect()])  # a few texts a language and class
+    return model
 
 
 def identify(
@@ -106,7 +157,8 @@ def identify(
 
     The whole text is encoded in blocks with every dictionary. ``score`` is the smallest size's share of
     2 ** -size over all languages; ``margin`` the bytes between it and the next one. ``rejected`` is true
-    where the margin is below ``min_margin`` bytes and where there is nothing to encode: null text, or
+    where the margin is below ``min_margin`` bytes or below what the model needs for the language and the size of the text
+    (``Model.needed``: texts of no learned language, or of several), and where there is nothing to encode: null text, or
     none with letters, is ``und`` with score 0. On a tie the language with more training rows is given.
     With an empty model every row is ``und``.
     """
@@ -121,7 +173,7 @@ def identify(
                 [m[0] for m in made],
                 [m[1] for m in made],
                 [m[2] for m in made],
-                [m[0] == "und" or m[2] < min_margin for m in made],
+                [m[0] == "und" or m[2] < max(min_margin, sent.value.needed(m[0], m[3])) for m in made],
             ]
 
         return score

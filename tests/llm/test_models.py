@@ -1,6 +1,7 @@
 """Language ID, quality and toxicity: held-out accuracy on the given tables, and defined results on odd rows."""
 
 import os
+import random
 
 import numpy as np
 import pytest
@@ -55,6 +56,30 @@ def test_language_model_is_deterministic(spark, odd):
     assert a.langs == b.langs and a.dictionaries == b.dictionaries
 
 
+SYLLABLES = {
+    "en": "the ing tion and er ly th wh ea ou ed re".split(), "de": "sch ein ung der ich keit zu ver ge pf ü ß".split(),
+    "fr": "eau que ment é è oi aux la ou tion elle ç".split(), "fi": "kka nen ssa yy öö lla ää tta juo hdu vie mme".split(),
+}
+
+
+def made_up(lang, n, seed):
+    rng = random.Random(f"{lang}{seed}")
+    return " ".join("".join(rng.choices(SYLLABLES[lang], k=rng.randrange(1, 4))) for _ in range(n))
+
+
+def test_language_rejects_unlearned_and_mixed(spark):
+    rows = [(i, made_up(x, 600, i), x) for i, x in enumerate(["en", "de", "fr"] * 120)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = [(f"clean {x}", made_up(x, n, 1000 + n)) for n in (8, 30, 100, 1000, 5000) for x in ("en", "de", "fr")]
+    asked += [("unlearned", made_up("fi", n, 1)) for n in (100, 1000, 5000)]
+    asked += [("mixed", made_up("en", n, 2000) + " " + made_up("de", n, 2000)) for n in (100, 1000, 5000)]
+    got = language_id.identify(spark.createDataFrame(asked, "kind string, text string"), model, carry=["kind"]).collect()
+    for r in got:
+        assert r.rejected == (r.kind in ("unlearned", "mixed")), r
+        assert r.rejected or r.kind == f"clean {r.lang_pred}"
+    assert any(r.margin >= 1 for r in got if r.rejected)
+
+
 @given
 @pytest.mark.parametrize(("module", "label", "folds", "fold", "least"), [(quality, "quality", 3, 1, 0.95), (toxicity, "toxic", 5, 0, 0.9)])
 def test_classifier_held_out(spark, module, label, folds, fold, least):
