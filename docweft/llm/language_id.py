@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from bisect import bisect_right
@@ -57,8 +58,10 @@ class Model:
         """A function from texts to (lang, score, margin in bytes, least encoded size)."""
         import zstandard as z
 
+        # a coder's tables shrink with its dictionary, so that many languages take no more memory than 200
+        less = max(0, 16 - max([self.block, *map(len, self.dictionaries)]).bit_length())
         params = z.ZstdCompressionParameters(
-            strategy=z.STRATEGY_LAZY2, min_match=4, window_log=17, hash_log=15, chain_log=16, search_log=3,
+            strategy=z.STRATEGY_LAZY2, min_match=4, window_log=17, hash_log=15 - less, chain_log=16 - less, search_log=3,
             write_content_size=False, write_checksum=False, write_dict_id=False,
         )
         coders = []
@@ -82,6 +85,23 @@ class Model:
         return one
 
 
+def pieces(text: str | None, chars: int, at: int = 4) -> str:
+    """At most ``chars`` characters of a text's letters: all, or a piece of each of ``at`` equal stretches from a hashed offset on."""
+    plain = letters(text).decode()
+    if len(plain) <= chars:
+        return plain
+    size, stretch = chars // at, len(plain) / at
+    digest = hashlib.md5(plain.encode()).digest()
+    begins = [int(i * stretch) + int.from_bytes(digest[2 * i : 2 * i + 2]) * int(stretch - size + 1) // 65_536 for i in range(at)]
+    return " ".join(plain[b : b + size] for b in begins)
+
+
+def taken_pieces(texts: list[str | None], chars: int) -> list[list]:
+    """For each text whether it is kept out of the dictionaries (an eighth is), and its pieces or, kept out, its first 16,384 characters of letters."""
+    out = [hashlib.md5((t or "").encode("utf-8", "replace")).digest()[-1] < 32 for t in texts]
+    return [out, [letters(t).decode()[:16_384] if o else pieces(t, chars) for t, o in zip(texts, out, strict=True)]]
+
+
 def fit(
     docs: DataFrame,
     *,
@@ -91,32 +111,29 @@ def fit(
     rows_per_lang: int = 800,
     chars_per_row: int = 400,
     dictionary_bytes: int = 65_536,
-    max_langs: int = 200,
+    model_bytes: int = 200 * 65_536,
 ) -> Model:
     """Dictionaries from a bounded sample: for each language the ``rows_per_lang`` rows first in order of md5(id), of
     which each gives at most ``chars_per_row`` characters of its text to the dictionary (so no one row fills it).
     An eighth of them stays out: the margins of their texts set the least margins by language and size (``Model.calibrate``).
 
-    Rows are counted over all of ``docs``. Languages are those of the ``max_langs`` most frequent labels;
-    rows with null label or text teach nothing. The sample is chosen by bounded heaps in the tasks
-    (a limit on row number by language), so the driver gets at most rows_per_lang x max_langs short texts.
+    A row's pieces come from hashed places of its whole text (``pieces``), so no shared opening fills a dictionary. Every
+    label is learned; beyond 200 of them ``model_bytes`` is shared among the dictionaries. Rows with null label or
+    without letters teach nothing. The sample is chosen by bounded heaps in the tasks (a limit on row number by language).
     """
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    known = known.select(
-        F.col(lang_col).cast("string").alias("lang"),
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("place"),
-        F.col(text_col).alias("text"),
-    )
-    kept_out = F.substring("place", -1, 1).isin("0", "1")  # an eighth of the rows
-    known = known.select("lang", "place", kept_out.alias("kept_out"), F.substring("text", 1, F.when(kept_out, 16_384).otherwise(chars_per_row)).alias("piece"))
-    rows = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    known = known.select(F.col(lang_col).cast("string").alias("lang"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("place"), F.col(text_col).alias("text"))
+    counted = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    rows = {r["lang"]: r["n"] for r in counted}
+    # many languages share the memory that 200 of the full size take
+    dictionary_bytes = max(1024, min(dictionary_bytes, model_bytes // max(1, len(rows))))
     # the first hex digits of the digest keep about twice the rows needed, so that no window sees a whole language
-    bound = {x: max(1, min(4096, math.ceil(4096 * 3 * (rows_per_lang + 10) / n))) for x, n in rows.items()}
-    few = F.lit(False)
-    for x, b in bound.items():
-        few = few | ((F.col("lang") == x) & ((F.lit(b) >= 4096) | (F.substring("place", 1, 3) < f"{b:03x}")))
+    bounds = [(x, "g" if (b := math.ceil(4096 * 3 * (rows_per_lang + 10) / n)) >= 4096 else f"{max(1, b):03x}") for x, n in sorted(rows.items())]
+    bound = F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, bound string"))  # a row for each language
+    few = known.join(bound, "lang").where(F.substring("place", 1, 3) < F.col("bound")).drop("bound")
+    pieces = map_texts(few, "text", ["lang", "place"], "kept_out boolean, piece string", lambda: lambda texts: taken_pieces(texts, chars_per_row))
     order = Window.partitionBy("lang").orderBy("place", "piece")
-    taken = known.where(few).withColumn("at", F.row_number().over(order)).where(F.col("at") <= rows_per_lang)
+    taken = pieces.withColumn("at", F.row_number().over(order)).where(F.col("at") <= rows_per_lang)
     text: dict[str, list[bytes]] = {}
     size: dict[str, int] = {}
     outside: dict[str, str] = {}
@@ -162,7 +179,7 @@ def identify(
     none with letters, is ``und`` with score 0. On a tie the language with more training rows is given.
     With an empty model every row is ``und``.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_langs x dictionary_bytes
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # about model_bytes
 
     def start():
         one = sent.value.scorer()

@@ -80,6 +80,20 @@ def test_language_rejects_unlearned_and_mixed(spark):
     assert any(r.margin >= 1 for r in got if r.rejected)
 
 
+def test_language_learns_bodies_and_every_label(spark):
+    header = made_up("en", 200, 0)
+    rows = [(i, header + " " + made_up(x, 200, i), x) for i, x in enumerate(["de", "fr"] * 40)]
+    rows += [(1000 + i, made_up("en", 200, i), "en") for i in range(40)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    one = model.scorer()
+    assert all(one(made_up(x, 100, 5000))[0] == x for x in ("en", "de", "fr"))
+    bodies = [d for x, d in zip(model.langs, model.dictionaries, strict=True) if x == "de"][0]
+    assert bodies.count(b"sch") > 40 and not bodies.startswith(language_id.letters(header)[:100])
+    many = spark.createDataFrame([(i, f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x " * 30, f"l{i:03}") for i in range(230)], "doc_id long, text string, lang string")
+    model = language_id.fit(many)
+    assert len(model.langs) == 230 and {r.lang_pred == r.lang for r in language_id.identify(many, model, carry=["lang"]).collect()} == {True}
+
+
 @given
 @pytest.mark.parametrize(("module", "label", "folds", "fold", "least"), [(quality, "quality", 3, 1, 0.95), (toxicity, "toxic", 5, 0, 0.9)])
 def test_classifier_held_out(spark, module, label, folds, fold, least):
