@@ -113,7 +113,7 @@ def fit(
     dictionary_bytes: int = 65_536,
     model_bytes: int = 200 * 65_536,
 ) -> Model:
-    """Dictionaries from a bounded sample: for each language the ``rows_per_lang`` rows first in order of md5(id), of
+    """Dictionaries from a bounded sample: for each language the ``rows_per_lang`` rows first in order of md5(id and text), of
     which each gives at most ``chars_per_row`` characters of its text to the dictionary (so no one row fills it).
     An eighth of them stays out: the margins of their texts set the least margins by language and size (``Model.calibrate``).
 
@@ -122,23 +122,25 @@ def fit(
     without letters teach nothing. The sample is chosen by bounded heaps in the tasks (a limit on row number by language).
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    known = known.select(F.col(lang_col).cast("string").alias("lang"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("place"), F.col(text_col).alias("text"))
-    counted = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
-    rows = {r["lang"]: r["n"] for r in counted}
+    # by id and text, so that rows of one id, or without any, spread; rows equal in both are one place and teach once
+    place = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\x1f"), F.col(text_col)))
+    known = known.select(F.col(lang_col).cast("string").alias("lang"), place.alias("place"), F.col(text_col).alias("text"))
+    counted = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("place").alias("places")).collect()
+    rows, places = {r["lang"]: r["n"] for r in counted}, {r["lang"]: r["places"] for r in counted}
     # many languages share the memory that 200 of the full size take
     dictionary_bytes = max(1024, min(dictionary_bytes, model_bytes // max(1, len(rows))))
     # the first hex digits of the digest keep about twice the rows needed, so that no window sees a whole language
-    bounds = [(x, "g" if (b := math.ceil(4096 * 3 * (rows_per_lang + 10) / n)) >= 4096 else f"{max(1, b):03x}") for x, n in sorted(rows.items())]
+    bounds = [(x, "g" if (b := math.ceil(4096 * 3 * (rows_per_lang + 10) / max(1, n))) >= 4096 else f"{max(1, b):03x}") for x, n in sorted(places.items())]
     bound = F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, bound string"))  # a row for each language
     few = known.join(bound, "lang").where(F.substring("place", 1, 3) < F.col("bound")).drop("bound")
     pieces = map_texts(few, "text", ["lang", "place"], "kept_out boolean, piece string", lambda: lambda texts: taken_pieces(texts, chars_per_row))
     order = Window.partitionBy("lang").orderBy("place", "piece")
-    taken = pieces.withColumn("at", F.row_number().over(order)).where(F.col("at") <= rows_per_lang)
+    taken = pieces.dropDuplicates(["lang", "place"]).withColumn("at", F.row_number().over(order)).where(F.col("at") <= rows_per_lang)
     text: dict[str, list[bytes]] = {}
     size: dict[str, int] = {}
     outside: dict[str, str] = {}
     for r in taken.orderBy("lang", "at").toLocalIterator():
-        if r["kept_out"] and rows[r["lang"]] >= 16:
+        if r["kept_out"] and places[r["lang"]] >= 16:
             if len(outside.get(r["lang"], "")) < OUTSIDE:
                 outside[r["lang"]] = f"{outside.get(r['lang'], '')} {letters(r['piece']).decode()}".strip()
         elif size.get(r["lang"], 0) < dictionary_bytes and (data := letters(r["piece"])):

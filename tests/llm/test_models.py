@@ -94,6 +94,14 @@ def test_language_learns_bodies_and_every_label(spark):
     assert len(model.langs) == 230 and {r.lang_pred == r.lang for r in language_id.identify(many, model, carry=["lang"]).collect()} == {True}
 
 
+def test_language_learns_rows_of_one_id(spark):
+    rows = [(None if i % 2 else 7, made_up(x, 30, i), x) for i, x in enumerate(["en", "de", "fr"] * 500)]
+    rows += [(9, "juo nnen sskayy öölla", "fi")] * 1000  # equal rows
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows_per_lang=20)
+    assert sorted(model.langs) == ["de", "en", "fi", "fr"] and all(len(d) > 2000 for x, d in zip(model.langs, model.dictionaries, strict=True) if x != "fi")
+    assert all(model.scorer()(made_up(x, 30, 9000))[0] == x for x in ("en", "de", "fr"))
+
+
 @given
 @pytest.mark.parametrize(("module", "label", "folds", "fold", "least"), [(quality, "quality", 3, 1, 0.95), (toxicity, "toxic", 5, 0, 0.9)])
 def test_classifier_held_out(spark, module, label, folds, fold, least):
