@@ -46,11 +46,29 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that 5-word shingle Jaccard of 0.75 or more links, the row with the smallest id stays."""
+    """Of each group that 5-word shingle Jaccard of 0.75 or more links, one row stays: the one with the smallest id (null
+    after all others), then the smallest key of id and text. Of rows equal in both, the one whose other columns come first as json.
+
+    Rows are told apart by that key, so a repeated id takes no other text along, and rows without id are judged like others.
+    """
     tuned(spark)
-    joined = jaccard_join(docs)
-    gone = stored(joined.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
-    return docs.join(checked_broadcast(gone), "doc_id", "left_anti").select(*docs.columns)
+    rows, names = renamed(docs)
+    at, text = names["doc_id"], names["text"]
+    rows = rows.withColumn("_key", F.xxhash64(F.col(at).isNull(), at, text).bitwiseAND(F.lit(2**63 - 1)))
+    joined = jaccard_join(rows, id_col="_key", text_col=text).where("n_links > 0")
+    linked = stored(joined.select(F.col("doc_id").alias("_key"), "component_id").distinct(), "near-linked")
+    members = rows.select("_key", at).join(checked_broadcast(linked), "_key").groupBy("component_id", "_key")
+    members = stored(members.agg(F.min(at).alias("id"), F.count(F.lit(1)).alias("n")), "near-members")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_key"))["_key"].alias("stays"))
+    judged = members.join(checked_broadcast(stored(first, "near-first")), "component_id")
+    gone = stored(judged.where("_key <> stays OR n > 1").select("_key", (F.col("_key") == F.col("stays")).alias("again")), "near-duplicates")
+    out = kept(rows.join(checked_broadcast(gone.select("_key")), "_key", "left_anti"), names)
+    again = stored(gone.where("again").select("_key"), "near-again")
+    if not again.count():
+        return out
+    others = F.to_json(F.struct(*[c for c in names.values() if c != text]))
+    one = rows.join(checked_broadcast(again), "_key", "left_semi").groupBy("_key").agg(F.min_by(F.struct(*names.values()), others).alias("row"))
+    return out.unionByName(kept(one.select("row.*"), names))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

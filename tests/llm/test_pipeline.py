@@ -102,3 +102,14 @@ def test_clashing_extra_columns(spark, stages):
         more = stored(stage(spark, more, stages[2]), f"test-more-{name}")
     want = {r.doc_id for r in stages[0][3][2].collect()}
     assert {r.doc_id for r in more.collect()} == want and more.columns[-5:] == ["contaminated", "epoch", "rejected", "n_tokens", "component_id"]
+
+
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    rng = random.Random(3)
+    a, b, c, d, e = (" ".join(rng.choice("abcdefgh") + str(rng.randrange(500)) for _ in range(60)) for _ in range(5))
+    rows = [(5, a, "en", "s", 1), (5, a, "en", "s", 1), (5, a, "de", "s", 1)]  # repeated rows: one stays
+    rows += [(2, b, "en", "s", 1), (None, b + " end", "en", "s", 1)]  # a null id goes before an id
+    rows += [(9, b, "en", "s", 1), (9, c, "en", "s", 1)]  # one id, two texts: the unique one stays
+    rows += [(None, d, "en", "s", 1), (None, d, "en", "t", 1), (None, e, "en", "s", 1)]
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(5, a, "de", "s", 1), (2, b, "en", "s", 1), (9, c, "en", "s", 1), (None, d, "en", "s", 1), (None, e, "en", "s", 1)]))
