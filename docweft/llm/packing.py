@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweft.llm.common import schema_with
+from docweft.llm.common import checked_broadcast, schema_with, stored
 from docweft.llm.tokenizers import encoder_for
 
 
@@ -93,17 +93,25 @@ def pack(
     ``cu_seqlens[i]`` to ``cu_seqlens[i + 1]``, belongs to ``doc_ids[i]`` and begins at its token ``doc_starts[i]``; positions
     restart at 0 at each of ``position_resets``.
 
-    Documents are dealt by the hash of their id to as many shards as keep each near ``shard_bytes`` of text, so
-    that a task holds a few shards' ids one after another and no source is hot; rows of one id stay together. A
-    shard's rows depend on its documents only: they are sorted by id, then text. Documents without tokens have no piece. Null ids go to one shard.
+    Documents are dealt by the hash of their id and text to as many shards as keep each near ``shard_bytes`` of text, so
+    that a task holds a few shards' ids one after another and no source or id is hot; equal rows that alone exceed a shard are numbered
+    and dealt by their number too. A shard's rows depend on its documents only: they are sorted by id, then text. Documents without tokens have no piece.
     """
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     shards = max(1, -(-int(total) // shard_bytes))
-    dealt = docs.where(F.octet_length(text_col) > 0).select(
-        F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(shards)).cast("long").alias("shard"),
-        F.col(id_col).alias("doc_id"),
-        F.col(text_col).alias("text"),
-    )
+    given = docs.where(F.octet_length(text_col) > 0).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    given = given.withColumn("key", F.xxhash64(F.col("doc_id").cast("string"), "text"))
+    shard = lambda *x: F.pmod(F.xxhash64(*x), F.lit(shards)).cast("long").alias("shard")
+    # rows that are equal and together too large for a shard: at most total / shard_bytes keys
+    size = F.sum(F.octet_length("text").cast("long"))
+    many = stored(given.groupBy("key").agg(F.count(F.lit(1)).alias("n"), size.alias("size")).where((F.col("n") > 1) & (F.col("size") > shard_bytes)).select("key"), "pack-equal")
+    dealt = given.select(shard("key"), "doc_id", "text")
+    if many.count():
+        some = checked_broadcast(many)
+        equal = given.join(some, "key", "left_semi").groupBy("key", "doc_id", "text").agg(F.count(F.lit(1)).alias("n"))
+        spread = equal.select("key", "doc_id", "text", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("number"))
+        rest = given.join(some, "key", "left_anti").select(shard("key"), "doc_id", "text")
+        dealt = rest.unionByName(spread.select(shard("key", "number"), "doc_id", "text"))
     kind = dealt.schema["doc_id"].dataType.simpleString()
     parts = max(1, min(shards, 100_000))
     dealt = dealt.repartition(parts, "shard").sortWithinPartitions("shard", "doc_id", "text")

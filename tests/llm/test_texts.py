@@ -14,6 +14,7 @@ from docweft.llm import packing, token_counts
 from docweft.llm.common import shared_dir
 from docweft.llm.queries_text import tokenizer_path
 from docweft.llm.tokenizers import PieceEncoder
+from pyspark.sql import functions as F
 
 
 def own_cache(spark):
@@ -175,3 +176,15 @@ def test_packing_round_trip(odd, empty, name, end):
         assert [i for i, p in enumerate(positions) if p == 0] == r.position_resets
     assert Counter((r.shard, r.row) for r in packed.collect()).most_common(1)[0][1] == 1
     assert packing.pack(empty, tokenizer=path, row_tokens=64).count() == 0
+
+
+def test_packing_spreads_a_hot_id(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(None, f"text {i} " * 20) for i in range(300)] + [(7, "equal rows " * 20)] * 300
+    packed = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer=path, row_tokens=64, shard_bytes=6_000)
+    some = packed.select("shard", F.explode("doc_ids").alias("i")).groupBy("i").agg(F.count_distinct("shard").alias("n")).collect()
+    assert {r.i for r in some} == {None, 7} and min(r.n for r in some) > 10
+    starts = [s for r in packed.collect() for s in r.doc_starts]
+    assert sum(s == 0 for s in starts) == 600
