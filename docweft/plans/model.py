@@ -8,11 +8,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweft.sources.io import spread
+
 NOW = "2024-02-01 00:00:00"
 
 
+#: Tables of long texts: worth spreading when they are small files.
+TEXTS = {"documents", "pages", "conversations"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in TEXTS else rows
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

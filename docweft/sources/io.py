@@ -18,6 +18,13 @@ def scan(spark: SparkSession, path: str, columns: Sequence[str], where: Column |
     return (rows if where is None else rows.where(where)).select(*columns)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` (a scan) dealt evenly over the cores when the scan has fewer partitions than there are cores: a small table in one file
+    is read by one task otherwise. At most 8 partitions are made of each; a large table stays as it is."""
+    cores, parts = rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()
+    return rows if parts >= cores else rows.repartition(min(cores, max(1, 8 * parts)))
+
+
 def file_inventory(files: DataFrame) -> DataFrame:
     """``path, size, sha256, format`` of rows of the ``binaryFile`` source."""
     return files.select("path", F.col("length").alias("size"), digest(F.col("content")).alias("sha256"), file_format(F.col("content"), F.col("path")).alias("format"))
