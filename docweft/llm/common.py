@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docweft.sources.io import spread
+
 #: Rows of a key table that may be broadcast; beyond it the same join is shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Texts are handed to a scorer in slices of about this many characters.
@@ -28,7 +30,7 @@ def tuned(spark: SparkSession) -> SparkSession:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -11,10 +11,11 @@ from docweft.llm.common import stored
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label_col: str, per_label: int, *, id_col: str = "doc_id", text_col: str = "text"
 ) -> tuple[DataFrame, dict[int, int]]:
-    """At most ``per_label`` rows of each label (``doc_id, label, text``), first in order of md5(id), and the
+    """At most ``per_label`` rows of each label (``doc_id, label, text``), those first in order of md5(id), and the
     number of labelled ids by label over all of ``labels``.
 
-    An id with several labels has the largest; null ids and null labels teach nothing.
+    An id stands for one row: with several labels it has the largest, with several texts the smallest in string order. Null
+    ids and null labels teach nothing.
     """
     one = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
@@ -27,4 +28,5 @@ def labelled_sample(
     parts = [one.where(F.col("label") == y).orderBy(place, "doc_id").limit(per_label) for y in (0, 1)]
     chosen = stored(parts[0].unionByName(parts[1]), "labelled-sample")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.join(F.broadcast(chosen), "doc_id"), counts  # at most 2 x per_label rows are broadcast
+    rows = rows.join(F.broadcast(chosen), "doc_id")  # at most 2 x per_label rows are broadcast
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")), counts
