@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from docweft.llm.common import map_texts, stored
 from docweft.llm.samples import labelled_sample
@@ -40,10 +42,6 @@ def unwritten(text: str):
     return text if len(parts) == 1 else (0, *parts[1:]) if len(parts) == 3 else tuple(parts)
 
 
-def digest(gram) -> int:
-    return xxhash.xxh3_64_intdigest(written(gram).encode("utf-8", "replace"))
-
-
 def svm_dual(rows: list[np.ndarray], x: np.ndarray, y: np.ndarray, upper: np.ndarray, n: int, epochs: int, seed: int) -> np.ndarray:
     """Weights of an L1-loss linear support vector machine by dual coordinate descent.
 
@@ -114,44 +112,56 @@ def fit(
     """Fit on a bounded sample: at most ``per_label`` labelled rows of each class (all of ``labels`` count for the
     class balance), at most ``features`` n-grams found in ``min_rows`` of them or more.
 
-    With no row of one of the classes the model gives every text the smoothed share of class 1.
-    Tasks send each sampled row's n-gram digests to the driver, at most 2 x per_label of them.
+    Spark counts in how many rows of each class every n-gram of the whole texts is, and ranks them by
+    the size of their log-count ratio times the root of their rows (ties by the n-gram). The driver gets the chosen n-grams and,
+    for each sampled row, the numbers of those that it has. With no row of one of the classes the model gives every text the
+    smoothed share of class 1. An id with several rows teaches once (``labelled_sample``).
     """
     sample, counts = labelled_sample(docs, labels, label_col, per_label)
     sample = stored(sample, "quality-sample")
+    size = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
+    if len(size) < 2:
+        return Model({}, 0.0, 1.0, math.log(share / (1 - share)))
 
-    def start():
-        def score(texts):
-            return [[np.sort(np.fromiter(map(digest, grams(t)), np.uint64)).tobytes() for t in texts]]
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: tuple[Counter, Counter] = (Counter(), Counter())
 
-        return score
+        def made() -> pa.RecordBatch:
+            every = sorted(found[0].keys() | found[1].keys())
+            n = [pa.array([f[g] for g in every], pa.int64()) for f in found]
+            return pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *n], names=["gram", "n0", "n1"])
 
-    got = map_texts(sample, "text", ["doc_id", "label"], "hashes binary", start)
-    rows = [(r["label"], r["doc_id"], np.frombuffer(r["hashes"], np.uint64)) for r in got.toLocalIterator()]
-    rows.sort(key=lambda r: (r[1], r[0], r[2].tobytes()))
-    y01 = np.array([r[0] for r in rows], int)
-    share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
-    if len(set(y01.tolist())) < 2:
-        return Model({}, 0.0, 1.0, math.log(share / (1 - share)))
-    all_ids, inverse = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)
-    owner = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
-    df = np.bincount(inverse, minlength=len(all_ids))
-    pos = np.bincount(inverse, weights=y01[owner], minlength=len(all_ids))
-    n_pos, n_neg = y01.sum(), (1 - y01).sum()
-    ratio = np.log((pos + 1) / (n_pos + 2)) - np.log((df - pos + 1) / (n_neg + 2))
-    keep = np.flatnonzero(df >= min_rows)
-    strength = np.abs(ratio[keep]) * np.sqrt(df[keep])
-    keep = np.sort(keep[np.lexsort((all_ids[keep], -strength))[:features]])
-    place = np.full(len(all_ids), -1)
-    place[keep] = np.arange(len(keep))
-    feature = place[inverse]
-    cut = np.cumsum([len(r[2]) for r in rows])[:-1]
-    lists = [f[f >= 0] for f in np.split(feature, cut)]
+        for batch in batches:
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found[y].update(map(written, grams(text)))
+                if len(found[0]) + len(found[1]) > 300_000:
+                    yield made()
+                    found[0].clear()
+                    found[1].clear()
+        yield made()
+
+    n_neg, n_pos = size[0], size[1]
+    sums = sample.select("label", "text").mapInArrow(count, "gram string, n0 long, n1 long").groupBy("gram")
+    sums = sums.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= min_rows)
+    ratio = F.log((F.col("n1") + 1) / (n_pos + 2)) - F.log((F.col("n0") + 1) / (n_neg + 2))
+    strength = F.abs(ratio) * F.sqrt(F.col("n0") + F.col("n1"))
+    top = sums.select("gram", ratio.alias("ratio"), strength.alias("strength")).orderBy(F.desc("strength"), "gram").limit(features).collect()
+    place = {unwritten(r["gram"]): i for i, r in enumerate(top)}
+    x = np.array([r["ratio"] for r in top])
+    sent = sample.sparkSession.sparkContext.broadcast(place)  # at most ``features`` n-grams
+
+    def start():
+        places = sent.value
+        return lambda texts: [[sorted(places[g] for g in grams(t) & places.keys()) for t in texts]]
+
+    got = map_texts(sample, "text", ["doc_id", "label"], "own array<int>", start)
+    rows = [(r["label"], r["doc_id"], r["own"]) for r in got.toLocalIterator()]  # at most 2 x per_label
+    rows.sort(key=lambda r: (r[1], r[0], r[2]))
+    y01, lists = np.array([r[0] for r in rows], int), [np.array(r[2], int) for r in rows]
     # the classes weigh as much as in all of the labels
-    by = {y: counts[y] / max(1, int((y01 == y).sum())) for y in (0, 1)}
-    weight = np.array([by[int(y)] for y in y01])
+    weight = np.array([counts[int(y)] / size[int(y)] for y in y01])
     weight = weight / weight.mean()
-    x = ratio[keep]
     sign = 2 * y01 - 1.0
     # margins for the curve come from folds that did not see the row
     margin = np.zeros(len(rows))
@@ -165,31 +175,16 @@ def fit(
             margin[i] = w[lists[i]] @ x[lists[i]] + w[-1]
     slope, shift = logistic_fit(margin, y01, weight)
     w = svm_dual(lists, x, sign, c * weight, len(x), epochs, seed)
-    # each chosen n-gram is spelt out by the first sampled row that has it
-    first = np.full(len(all_ids), len(rows))
-    np.minimum.at(first, inverse, owner)
-    asked: dict[int, dict[int, float]] = {}
-    for i, part in zip(keep, w[:-1] * x, strict=True):
-        if part:
-            asked.setdefault(rows[first[i]][1], {})[int(all_ids[i])] = float(part)
-    sent = sample.sparkSession.sparkContext.broadcast(asked)  # at most ``features`` numbers
-
-    def spell(batches):
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            found = {written(g) for i, t in zip(ids, texts, strict=True) if (own := sent.value.get(i)) for g in grams(t) if digest(g) in own}
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["gram"])
-
-    parts = {k: v for found in asked.values() for k, v in found.items()}
-    spelt = sample.select("doc_id", "text").mapInArrow(spell, "gram string").distinct()
-    weight = {unwritten(r["gram"]): parts[digest(unwritten(r["gram"]))] for r in spelt.toLocalIterator()}
-    return Model(weight, float(w[-1]), slope, shift)
+    parts = {g: float(w[i] * x[i]) for g, i in place.items() if w[i] * x[i]}
+    return Model(parts, float(w[-1]), slope, shift)
 
 
 def score_quality(docs: DataFrame, model: Model, *, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Carried columns, then ``score`` (0 to 1, higher: class 1 likelier) and ``predicted`` (1 from 0.5 on).
 
-    Null and empty texts have no n-grams and get the score of the constant feature alone. No shuffle.
+    The whole text counts, however long. Null and empty texts have no n-grams and get the score of the constant feature alone.
+    Repeated rows, and texts with the same known n-grams, score alike; an empty table gives no rows; a carried column
+    named like a result is left out. No shuffle.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most ``features`` n-grams
 
