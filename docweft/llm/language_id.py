@@ -4,26 +4,32 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 from bisect import bisect_right
 
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweft.llm.common import map_texts
 
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: What ends a word: anything but letters and the marks that follow them. Numerals such as ½ and ① are no letters.
+NOT_LETTERS = regex.compile(r"(?:[^\p{L}\p{M}]+\p{M}*)+|^\p{M}+")
+ASCII_LETTERS = bytes(c if 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 #: Zeros after each block: they cost the same for every dictionary and keep short blocks from being stored raw.
 FILLER = bytes(48)
 #: Encoded sizes in bytes from which on a text has the least margin of its class.
 CLASSES = [16 << i for i in range(10)]
 #: Characters of a language, of rows kept out of its dictionary, that its margins are set from.
 OUTSIDE = 200_000
+#: Characters of one such row.
+OUTSIDE_ROW = 16_384
 
 
 def letters(text: str | None) -> bytes:
-    """Lower-case words of letters, single-spaced, in UTF-8; empty if the text has no letters."""
-    return NOT_LETTERS.sub(" ", (text or "").lower()).strip().encode("utf-8", "replace")
+    """Lower-case words of letters (Unicode category L, with the marks on them), single-spaced, in UTF-8; empty without letters."""
+    if not text or text.isascii():
+        return b" ".join((text or "").encode().translate(ASCII_LETTERS).split())
+    return NOT_LETTERS.sub(" ", text.lower()).strip().encode("utf-8", "replace")
 
 
 class Model:
@@ -97,9 +103,9 @@ def pieces(text: str | None, chars: int, at: int = 4) -> str:
 
 
 def taken_pieces(texts: list[str | None], chars: int) -> list[list]:
-    """For each text whether it is kept out of the dictionaries (an eighth is), and its pieces or, kept out, its first 16,384 characters of letters."""
+    """For each text whether it is kept out of the dictionaries (an eighth is), and its pieces: of ``chars`` characters, or of ``OUTSIDE_ROW``."""
     out = [hashlib.md5((t or "").encode("utf-8", "replace")).digest()[-1] < 32 for t in texts]
-    return [out, [letters(t).decode()[:16_384] if o else pieces(t, chars) for t, o in zip(texts, out, strict=True)]]
+    return [out, [pieces(t, OUTSIDE_ROW if o else chars) for t, o in zip(texts, out, strict=True)]]
 
 
 def fit(
@@ -179,7 +185,8 @@ def identify(
     where the margin is below ``min_margin`` bytes or below what the model needs for the language and the size of the text
     (``Model.needed``: texts of no learned language, or of several), and where there is nothing to encode: null text, or
     none with letters, is ``und`` with score 0. On a tie the language with more training rows is given.
-    With an empty model every row is ``und``.
+    With an empty model every row is ``und``. Repeated rows are judged alike; an empty table gives no rows; a carried column
+    named like a result is left out.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # about model_bytes
 
