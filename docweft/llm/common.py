@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from docweft.sources.io import spread
 
-#: Rows of a key table that may be broadcast; beyond it the same join is shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Bytes that a table may have to be broadcast (``table_bytes``); beyond it the same join is shuffled.
+BROADCAST_BYTES = 64_000_000
 #: Texts are handed to a scorer in slices of about this many characters.
 SLICE_CHARS = 2_000_000
 
@@ -54,12 +54,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checked_broadcast(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``small`` (a stored table, so that counting it reads footers only) with a broadcast hint if it is small enough.
+def table_bytes(df: DataFrame) -> int:
+    """About what a stored table takes in memory: 24 bytes a row, 8 a number, and the lengths of its strings and arrays."""
+    size = F.lit(24)
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + 16 + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType):
+            each = 8 * len(f.dataType.elementType.fields) + 24 if isinstance(f.dataType.elementType, T.StructType) else 8
+            size = size + 16 + each * F.coalesce(F.size(f.name), F.lit(0))
+        else:
+            size = size + 8
+    return df.agg(F.sum(size.cast("long"))).first()[0] or 0
 
-    Beyond ``limit`` rows the table comes back as it is and Spark shuffles the join.
+
+def checked_broadcast(small: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``small`` (a stored table, so that measuring it is one short scan) with a broadcast hint if it has at most ``limit`` bytes.
+
+    Beyond that the table comes back as it is and Spark shuffles the join.
     """
-    return F.broadcast(small) if small.count() <= limit else small
+    return F.broadcast(small) if table_bytes(small) <= limit else small
 
 
 def held_out(id_col: str, folds: int, fold: int) -> Column:
