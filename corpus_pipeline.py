@@ -55,7 +55,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows, names = renamed(docs)
     at, text = names["doc_id"], names["text"]
     rows = rows.withColumn("_key", F.xxhash64(F.col(at).isNull(), at, text).bitwiseAND(F.lit(2**63 - 1)))
-    joined = jaccard_join(rows, id_col="_key", text_col=text).where("n_links > 0")
+    joined = jaccard_join(rows, id_col="_key", text_col=text).where("linked")
     linked = stored(joined.select(F.col("doc_id").alias("_key"), "component_id").distinct(), "near-linked")
     members = rows.select("_key", at).join(checked_broadcast(linked), "_key").groupBy("component_id", "_key")
     members = stored(members.agg(F.min(at).alias("id"), F.count(F.lit(1)).alias("n")), "near-members")
