@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 from docweft.llm.common import checked_broadcast, stored
 
 LEVELS = ["domain", "lang", "source"]
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def word_tokens(text: Column) -> Column:
     """The measure of a text: its words between ASCII white space, 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def weight_of(level: str, weights: Mapping[str, Mapping[str, int]]) -> Column:
@@ -118,9 +119,10 @@ def mix(
     ]
     result = ["doc_id", *LEVELS, "epoch", "n_tokens"]
     carry = [c for c in carry or [] if c not in result]
-    rows = docs.select(
+    # a first word is found sooner than all are counted, and the count is not made twice for the filter
+    rows = docs.where(F.col(text_col).rlike(WORD)).select(
         F.col(id_col).alias("doc_id"), *named, word_tokens(F.col(text_col)).alias("n_tokens"), *[f"`{c}`" for c in carry]
-    ).where("n_tokens > 0")
+    )
     slim = stored(rows.select("doc_id", *LEVELS, "n_tokens"), "mix-rows")
     leaves = stored(slim.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("supply")), "mix-leaves")
     plan = leaf_budgets(leaves, weights, target_fraction, max_epochs).select(
@@ -158,5 +160,5 @@ def mix(
 
     taken = (F.col("rest") > 0) & ((bucket < F.col("cut_bucket")) | (F.col("place") <= F.col("last_place")))
     epochs = F.sequence(F.lit(1), F.col("whole").cast("int") + F.when(taken, 1).otherwise(0))
-    chosen = placed(rows, plan).where((F.col("whole") > 0) | taken)
+    chosen = placed(rows if carry else slim, plan).where((F.col("whole") > 0) | taken)
     return chosen.withColumn("epoch", F.explode(epochs)).select(*result, *[f"`{c}`" for c in carry])
