@@ -76,6 +76,23 @@ def checked_broadcast(small: DataFrame, limit: int = BROADCAST_BYTES) -> DataFra
     return F.broadcast(small) if table_bytes(small) <= limit else small
 
 
+#: Rows from which on a group's totals are joined apart from the others.
+HOT_ROWS = 10_000
+
+
+def with_totals(rows: DataFrame, totals: DataFrame, key: str, size: str, how: str = "left") -> DataFrame:
+    """``rows`` joined (``how``: left or inner) with ``totals``, a stored table of one row for each ``key`` with the group's ``size`` in rows.
+
+    Small totals are broadcast. Otherwise groups of ``HOT_ROWS`` or more, of which there are at most rows / ``HOT_ROWS``, are
+    broadcast (after a check of their bytes), so that no such group meets in one task, and only the other rows are shuffled.
+    """
+    if table_bytes(totals) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(totals), key, how)
+    hot = checked_broadcast(stored(totals.where(F.col(size) >= HOT_ROWS), "hot-totals"))
+    rest = rows.join(hot, key, "left_anti").join(totals.where(F.col(size) < HOT_ROWS), key, how)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def held_out(id_col: str, folds: int, fold: int) -> Column:
     """True for the rows whose crc32 of the id as text leaves ``fold`` modulo ``folds``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds == fold

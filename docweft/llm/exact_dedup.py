@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweft.llm.common import checked_broadcast, stored
+from docweft.llm.common import checked_broadcast, stored, with_totals
 
 
 def normalised(text: Column) -> Column:
@@ -28,8 +28,8 @@ def exact_dedup(
     3. Only rows of the surviving pairs have their full text hashed (SHA-256) and grouped by it.
 
     Groups are counted by partial aggregation before any shuffle, so a group of any size costs one row
-    for each task; rows meet their group's totals in an equi-join that adaptive execution can split.
-    Text itself is never shuffled unless the surviving pairs are too many to broadcast.
+    for each task; rows meet their group's totals in a join that is broadcast for small totals and for hot groups
+    (``with_totals``). Text itself is never shuffled unless the surviving pairs are too many to broadcast.
 
     ``digest_all`` hashes the other rows too, only so that ``text_sha256`` is filled in for them
     (else it is null outside the groups).
@@ -62,9 +62,10 @@ def exact_dedup(
         .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .where("group_size > 1")
     )
+    groups = stored(groups, "dedup-groups")
     single = F.col("group_size").isNull()
     keep = F.when(single, F.col("doc_id")).otherwise(F.col("keep_id"))
-    return rows.join(groups, "digest", "left").select(
+    return with_totals(rows, groups, "digest", "group_size").select(
         "doc_id",
         keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),

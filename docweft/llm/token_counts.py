@@ -7,10 +7,10 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweft.llm.common import checked_broadcast, map_texts, stored
+from docweft.llm.common import checked_broadcast, map_texts, stored, with_totals
 from docweft.llm.tokenizers import encoder_for
 
-CACHE = "content binary, tokenizer string, n_tokens long"
+CACHE = "content binary, n_tokens long, tokenizer string"
 
 
 def tokenizer_version(path: str) -> str:
@@ -46,7 +46,9 @@ def count_tokens(
     3. The misses are encoded and appended to the cache; all rows then join the counts by digest.
 
     A task that is run again appends nothing twice (the write commits as a whole); rows that two
-    runs appended at once are united on reading. Rows with null or repeated ids are counted like all others.
+    runs appended at once are united on reading. The cache is partitioned by tokenizer version, so only its own counts
+    are read. Rows with null or repeated ids are counted like all others, whole texts however long; other columns are ignored; an
+    empty table gives no rows.
     """
     spark = docs.sparkSession
     version = tokenizer_version(tokenizer)
@@ -56,10 +58,13 @@ def count_tokens(
     )
     rows = stored(rows, "token-digests")
     first = rows.groupBy("content").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    first = stored(first, "token-contents")
     known = read_cache(spark, cache, version)
-    again = rows.join(first.where("n > 1"), "content").where("doc_id > first_id OR (doc_id IS NULL AND first_id IS NOT NULL)")
-    held = rows.join(known, "content", "left_semi")
-    skipped = stored(again.select("doc_id", "content").unionByName(held.select("doc_id", "content")).distinct(), "token-skips")
+    repeated = stored(first.where("n > 1"), "token-repeated")
+    again = with_totals(rows, repeated, "content", "n", "inner").where("doc_id > first_id OR (doc_id IS NULL AND first_id IS NOT NULL)")
+    held = stored(first.join(known, "content"), "token-known")  # contents, not rows: no copy is hot
+    skipped = again.select("doc_id", "content").unionByName(with_totals(rows, held, "content", "n", "inner").select("doc_id", "content"))
+    skipped = stored(skipped.distinct(), "token-skips")
 
     missing = docs.select(F.col(id_col).alias("doc_id"), content.alias("content"), F.col(text_col).alias("text")).alias("d")
     skips = checked_broadcast(skipped).alias("s")
@@ -72,6 +77,6 @@ def count_tokens(
 
     counted = map_texts(missing, "text", ["content"], "n_tokens long", start)
     counted = counted.dropDuplicates(["content"])  # rows that repeat id and text were encoded side by side
-    counted.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
-    counts = read_cache(spark, cache, version)
-    return rows.join(counts, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    counted.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").partitionBy("tokenizer").parquet(cache)
+    counts = stored(first.select("content", "n").join(read_cache(spark, cache, version), "content"), "token-counts")
+    return with_totals(rows, counts, "content", "n", "inner").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import defaultdict
 
+from docweft.llm import common
 from docweft.llm import exact_dedup as ed
 from docweft.llm import mixing
 from docweft.llm.queries_native import source_domain
@@ -37,7 +38,10 @@ def test_dedup_empty_and_shuffled_join(empty, odd, monkeypatch):
     assert ed.exact_dedup(empty).count() == 0
     few = sorted(map(str, ed.exact_dedup(odd, digest_all=True).collect()))
     monkeypatch.setattr(ed, "checked_broadcast", lambda small, limit=0: small)
-    assert sorted(map(str, ed.exact_dedup(odd, digest_all=True).collect())) == few
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    for hot in (10_000, 3):  # no group, or those of three rows and more, apart from the others
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
+        assert sorted(map(str, ed.exact_dedup(odd, digest_all=True).collect())) == few
 
 
 def test_native_plans_have_no_python(odd):
