@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,6 +108,17 @@ def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     )
 
 
+def unit_vector(text: str | None, terms: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """TF-IDF of the whole text over the given words (digests, ascending): term numbers and unit vector; empty without any."""
+    digests, n = word_counts(text)
+    at = np.searchsorted(terms, digests)
+    known = at < len(terms)
+    known[known] = terms[at[known]] == digests[known]
+    at, n = at[known], n[known]
+    raw = (1 + np.log(n)) * weight[at]
+    return at, raw / math.sqrt(raw @ raw) if len(raw) else raw
+
+
 class Model:
     """Words with their weights, the index of examples and the calibration of votes.
 
@@ -121,21 +132,24 @@ class Model:
         self.ids: list = []
         self.labels: list[int] = []
         self.index = BlockMaxIndex([], len(terms))
+        self.sent = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"sent": None}
+
+    def shared(self, spark: SparkSession):
+        """The model as a broadcast, made once; calibration comes later and is sent with the tasks."""
+        if self.sent is None:
+            self.sent = spark.sparkContext.broadcast(self)
+        return self.sent
+
+    def calibration(self) -> tuple:
+        return self.places, self.values, self.none
 
     def hold(self, examples: list[tuple]) -> None:
         self.ids, self.labels = [e[0] for e in examples], [e[1] for e in examples]
         self.index = BlockMaxIndex([(e[2], e[3]) for e in examples], len(self.terms))
 
-    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Unit TF-IDF vector of the whole text over the model's words; empty without any."""
-        digests, n = word_counts(text)
-        at = np.searchsorted(self.terms, digests)
-        known = at < len(self.terms)
-        known[known] = self.terms[at[known]] == digests[known]
-        at, n = at[known], n[known]
-        raw = (1 + np.log(n)) * self.weight[at]
-        return at, raw / math.sqrt(math.fsum(raw * raw)) if len(raw) else raw
-
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Share of label 1 among neighbours, each with its cosine times its class's weight."""
         ws = [(s * self.class_weight[self.labels[i]], self.labels[i]) for s, i in near]
@@ -153,7 +167,7 @@ class Model:
 
     def score(self, text: str | None) -> tuple[float, list, list[float]]:
         """Calibrated score, and up to 3 nearest examples with their cosines. Without a neighbour: the score of such texts."""
-        near = self.index.nearest(*self.vector(text), self.k) if self.ids else []
+        near = self.index.nearest(*unit_vector(text, self.terms, self.weight), self.k) if self.ids else []
         if not near:
             return self.none, [], []
         vote = self.vote(near)
@@ -180,7 +194,7 @@ def fit(
     labels: DataFrame,
     *,
     label_col: str = "toxic",
-    per_label: int = 2000,
+    per_label: int = 1000,
     max_terms: int = 1_000_000,
     k: int = 15,
     lift: float = 3.0,
@@ -218,11 +232,11 @@ def fit(
     weight = term_weights(df["n"].to_numpy().astype(float), df["n1"].to_numpy().astype(float), n0, n1, lift, sure)
     order = np.argsort(terms)
     model = Model(terms[order], weight[order], k, class_weight, share)
-    words = spark.sparkContext.broadcast(model)  # at most max_terms numbers
+    words = spark.sparkContext.broadcast((model.terms, model.weight))  # at most max_terms numbers
 
     def start():
         def score(texts):
-            made = [words.value.vector(t) for t in texts]
+            made = [unit_vector(t, *words.value) for t in texts]
             return [[m[0].tolist() for m in made], [m[1].tolist() for m in made]]
 
         return score
@@ -231,7 +245,7 @@ def fit(
     examples = [(r["doc_id"], r["label"], np.array(r["terms"], np.int64), np.array(r["weights"])) for r in vectors.toLocalIterator()]
     examples.sort(key=lambda e: (e[0], e[1], e[2].tobytes(), e[3].tobytes()))  # at most 2 x per_label
     model.hold(examples)
-    held = spark.sparkContext.broadcast(model)
+    held = model.shared(spark)  # the vectors of at most 2 x per_label texts
     number = {e[0]: i for i, e in enumerate(examples)}
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,8 +255,8 @@ def fit(
             near = [m.index.nearest(np.array(t, np.int64), np.array(w), m.k, number[i]) for i, t, w in zip(ids, ts, ws, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array([m.vote(x) if x else None for x in near], pa.float64())], names=["y", "vote"])
 
-    votes = vectors.repartition(32, "doc_id").mapInArrow(left_out, "y int, vote double").orderBy("vote", "y").collect()  # at most 2 x per_label
-    model.calibrate([(r["y"], r["vote"]) for r in votes])
+    votes = vectors.repartition(32, "doc_id").mapInArrow(left_out, "y int, vote double").collect()  # at most 2 x per_label
+    model.calibrate(sorted(((r["y"], r["vote"]) for r in votes), key=str))
     return model
 
 
@@ -254,12 +268,15 @@ def score_toxicity(docs: DataFrame, model: Model, *, text_col: str = "text", car
     get the weighted share of label 1 among such examples, with no evidence. Repeated rows score alike; an empty table gives no
     rows; a carried column named like a result is left out.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # max_terms numbers and the vectors of 2 x per_label texts
+    sent, calibration = model.shared(docs.sparkSession), model.calibration()
     id_type = T.StructType.fromDDL("i long")[0].dataType if not model.ids or isinstance(model.ids[0], int) else T.StringType()
 
     def start():
+        m = sent.value
+        m.places, m.values, m.none = calibration
+
         def score(texts):
-            made = [sent.value.score(t) for t in texts]
+            made = [m.score(t) for t in texts]
             return [[m[0] for m in made], [int(m[0] >= 0.5) for m in made], [m[1] for m in made], [m[2] for m in made]]
 
         return score
