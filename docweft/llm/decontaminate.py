@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterable
+import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweft.llm.common import map_texts, schema_with
+from docweft.llm.common import checked_broadcast, map_texts, stored
 
 WINDOW = 13
 #: All bytes that are no part of a word become spaces; A-Z become a-z. Bytes from 0x80 on are parts of words.
@@ -65,10 +68,11 @@ class Search:
 
     def __init__(self, items: Iterable[tuple[str | None, str | None]]):
         by_length: dict[int, dict[tuple[bytes, ...], list[int]]] = {}
+        once: dict[bytes, bytes] = {}  # a word that occurs often is held once
         self.names: list[str] = []
         number: dict[str | None, int] = {}
         for name, text in items:
-            w = words(text)
+            w = [once.setdefault(x, x) for x in words(text)]
             if not w:
                 continue
             if name not in number:
@@ -97,6 +101,29 @@ def judged(n_words: int, n_hit: int, items: list[str]) -> tuple[int, int, int, s
     return n_words, n_hit, len(items), digest, n_hit > 0 and 20 * n_hit >= n_words
 
 
+#: The search of the broadcast that this process used last: tasks of one worker build it once.
+_BUILT: dict[str, Search] = {}
+
+
+def _search(sent: _Sent) -> Search:
+    if sent.id not in _BUILT:
+        _BUILT.clear()
+        _BUILT[sent.id] = Search(sent.value["items"])
+    return _BUILT[sent.id]
+
+
+class _Sent:
+    """Items under a name of their own, so that a worker knows whether it has built their search."""
+
+    def __init__(self, docs: DataFrame, items: list[tuple]):
+        self.sent = docs.sparkSession.sparkContext.broadcast({"items": items})
+        self.id = uuid.uuid4().hex
+
+    @property
+    def value(self) -> dict:
+        return self.sent.value
+
+
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -105,89 +132,87 @@ def find_contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
     carry: list[str] | None = None,
-    pattern_bytes: int = 8_000_000,
+    pattern_bytes: int = 1_500_000,
 ) -> DataFrame:
     """Carried columns, then ``n_words, n_hit, n_items, items_sha256, contaminated``; one row per input row.
 
     A window is 13 consecutive words of an item, or all of a shorter item's words. A document's word is
     hit if it lies in any occurrence of any window; the document is contaminated if some word is hit
     and hit words are a twentieth or more. Items are counted by id: rows that repeat an id are one item, a
-    row with null id is left out, and items without words have no window. Null and empty texts have no words.
+    row with null id is left out, and items without words have no window. Null and empty texts have no words. Texts are searched
+    whole, however long; repeated rows are judged alike; an empty table gives no rows, an empty benchmark no hits; a carried
+    column named like a result is left out.
 
-    The search tables are broadcast. They are bounded: if the items' texts exceed ``pattern_bytes``,
-    they are dealt by hash into as many parts as needed, each part is searched by itself, and the hit
-    positions of the parts are united per document.
+    The items are broadcast and each Python worker builds their tables once, about 120 bytes for each byte of item text.
+    If the items' texts exceed ``pattern_bytes``, they are dealt by hash into as many parts as needed, each part is searched by
+    itself, and the hit words of the few rows that have any are united.
     """
     items = benchmark.where(F.col(item_col).isNotNull()).select(
         F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")
     )
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, math.ceil(total / pattern_bytes))
-    carry = carry or []
-    if parts == 1:
-        sent = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])  # at most pattern_bytes
+    carry = [c for c in carry or [] if c not in T.StructType.fromDDL(RESULT).names]
+    if parts > 1:
+        return _in_parts(docs, items, parts, text_col, carry)
+    sent = _Sent(docs, [tuple(r) for r in items.collect()])  # at most pattern_bytes
 
-        def start():
-            search = Search(sent.value)
+    def start():
+        search = _search(sent)
 
-            def score(texts):
-                made = []
-                for t in texts:
-                    n, hit, names = search(t)
-                    made.append(judged(n, hit.count(1), names))
-                return list(zip(*made, strict=True)) if made else [[]] * 5
+        def score(texts):
+            made = []
+            for t in texts:
+                n, hit, names = search(t)
+                made.append(judged(n, hit.count(1), names))
+            return list(zip(*made, strict=True)) if made else [[]] * 5
 
-            return score
+        return score
 
-        return map_texts(docs, text_col, carry, RESULT, start)
-    return _in_parts(docs, items, parts, text_col, carry)
+    return map_texts(docs, text_col, carry, RESULT, start)
 
 
 def _in_parts(docs: DataFrame, items: DataFrame, parts: int, text_col: str, carry: list[str]) -> DataFrame:
-    """As above with the items dealt into ``parts``; hit words travel as bitmaps, equal rows stay as many as they were."""
-    spark = docs.sparkSession
-    carry = [c for c in carry if c not in T.StructType.fromDDL(RESULT).names]
-    keyed = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(text_col).alias("_dw_body"), F.xxhash64(text_col).alias("_dw_text_key"))
+    """As above with the items dealt into ``parts``; rows get a number that a written table fixes, and hit words travel as bitmaps."""
+    n_words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")), F.lit(0)).cast("long")
+    rows = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(text_col).alias("_dw_body"), n_words.alias("_dw_n"))
+    rows = stored(rows.withColumn("_dw_row", F.monotonically_increasing_id()), "contamination-rows")
     found = None
     for k in range(parts):
         own = items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == k)
-        sent = spark.sparkContext.broadcast([tuple(r) for r in own.collect()])  # about pattern_bytes
+        sent = _Sent(docs, [tuple(r) for r in own.collect()])  # about pattern_bytes
 
         def start(sent=sent):
-            search = Search(sent.value)
+            search = _search(sent)
 
             def score(texts):
                 made = [search(t) for t in texts]
-                return [[m[0] for m in made], [bytes(m[1]) for m in made], [m[2] for m in made]]
+                return [[np.packbits(np.frombuffer(m[1], np.uint8)).tobytes() for m in made], [m[2] for m in made]]
 
             return score
 
-        one = map_texts(keyed, "_dw_body", [*carry, "_dw_text_key"], "_dw_n long, _dw_hit binary, _dw_items array<string>", start)
+        one = map_texts(rows.select("_dw_row", "_dw_body"), "_dw_body", ["_dw_row"], "_dw_hit binary, _dw_items array<string>", start)
+        one = one.where(F.size("_dw_items") > 0)
         found = one if found is None else found.unionByName(one)
-    groups = found.groupBy(*[F.col(f"`{c}`") for c in carry], "_dw_text_key", "_dw_n").agg(
-        F.collect_list("_dw_hit").alias("_dw_hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_dw_items")))).alias("_dw_names"),
-        (F.count(F.lit(1)) / parts).cast("int").alias("_dw_rows"),
+    groups = found.groupBy("_dw_row").agg(
+        F.collect_list("_dw_hit").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_dw_items")))).alias("names")
     )
 
-    def unite(batches):
-        import pyarrow as pa
-
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = {n: batch.column(n).to_pylist() for n in ("_dw_n", "_dw_hits", "_dw_names")}
-            made = []
-            for n, hits, names in zip(*cols.values(), strict=True):
+            n_hit = []
+            for hits in batch.column(1).to_pylist():
                 bits = 0
                 for h in hits:
                     bits |= int.from_bytes(h, "little")
-                made.append(judged(n, bits.bit_count(), sorted(names)))
-            out = list(zip(*made, strict=True)) if made else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-            kept = [batch.column(c) for c in [*carry, "_dw_rows"]]
-            yield pa.RecordBatch.from_arrays(
-                kept + [pa.array(x, k) for x, k in zip(out, kinds, strict=True)],
-                names=[*carry, "_dw_rows", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
-
-    made = groups.mapInArrow(unite, schema_with(groups.select(*[F.col(f"`{c}`") for c in carry], "_dw_rows"), RESULT))
-    return made.withColumn("_dw_rows", F.explode(F.array_repeat(F.lit(0), F.col("_dw_rows")))).drop("_dw_rows")
+                n_hit.append(bits.bit_count())
+            digests = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in batch.column(2).to_pylist()]
+            n_items = pa.array([len(x) for x in batch.column(2).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_hit, pa.int64()), n_items, pa.array(digests)], names=["_dw_row", "_dw_n_hit", "_dw_n_items", "_dw_sha"])
+
+    hits = stored(groups.mapInArrow(unite, "_dw_row long, _dw_n_hit long, _dw_n_items long, _dw_sha string"), "contamination-hits")
+    n_hit = F.coalesce("_dw_n_hit", F.lit(0).cast("long"))
+    return rows.join(checked_broadcast(hits), "_dw_row", "left").select(
+        *[F.col(f"`{c}`") for c in carry], F.col("_dw_n").alias("n_words"), n_hit.alias("n_hit"), F.coalesce("_dw_n_items", F.lit(0).cast("long")).alias("n_items"),
+        F.coalesce("_dw_sha", F.lit(hashlib.sha256(b"").hexdigest())).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("_dw_n"))).alias("contaminated"),
+    )

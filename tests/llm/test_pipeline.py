@@ -113,3 +113,18 @@ def test_near_duplicates_with_repeated_and_null_ids(spark):
     rows += [(None, d, "en", "s", 1), (None, d, "en", "t", 1), (None, e, "en", "s", 1)]
     got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, DOCS), "").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(5, a, "de", "s", 1), (2, b, "en", "s", 1), (9, c, "en", "s", 1), (None, d, "en", "s", 1), (None, e, "en", "s", 1)]))
+
+
+def test_stages_on_odd_rows(spark, odd, empty, stages):
+    """Null and repeated ids, null, empty and very long texts, and an empty table go through every stage."""
+    cols = ["doc_id", "text", "lang", "source", "n_chars"]
+    docs = stored(odd.where("doc_id <> 20 OR doc_id IS NULL").select(*cols), "test-odd")  # one word of 300,000 letters takes tokenizers minutes
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = stored(stage(spark, docs, stages[2]), f"test-odd-{name}")
+        assert made.columns == cols and made.exceptAll(docs).count() == 0
+        docs = made
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, stages[2]).count() > 0
+    none = empty.select(*cols)
+    for name, stage in corpus_pipeline.STAGES:
+        none = stored(stage(spark, none, stages[2]), f"test-none-{name}")
+        assert none.count() == 0

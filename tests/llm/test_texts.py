@@ -88,6 +88,10 @@ def test_decontamination_matches_brute_force(spark, odd, empty, pattern_bytes):
     want = sorted((str(r.doc_id), *brute_hits(r.text, items)) for r in docs.collect())
     assert sorted((str(r.doc_id), *r[1:]) for r in got.collect()) == want
     assert dc.find_contamination(empty, bench, carry=["doc_id"], pattern_bytes=pattern_bytes).count() == 0
+    more = docs.selectExpr("*", "map('a', doc_id) as m", "'x' as items_sha256")  # a map cannot be grouped by; a name of a result
+    again = dc.find_contamination(more, bench, carry=["doc_id", "m", "items_sha256", "text"], pattern_bytes=pattern_bytes)
+    assert again.columns == ["doc_id", "m", "text", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    assert sorted((str(r.doc_id), *r[3:]) for r in again.collect()) == want
     assert all(r.n_hit == 0 for r in dc.find_contamination(docs, bench.limit(0), carry=["doc_id"]).collect())
 
 
