@@ -1,7 +1,10 @@
 """From raw documents to packed token rows: five stages, each written and read again.
 
 language ID > near duplicates > benchmark decontamination > source mixing > packed token ids.
-Each stage takes all that its predecessor kept and returns the columns of documents, but for the last.
+Each stage takes all that its predecessor kept and returns the columns of documents, but for the last. Columns may have any
+names besides these, and any of them may be null: a null text has no letters and goes in the first stage, a null language
+teaches nothing, null languages and sources are the node ``unknown`` of the mix. Null and repeated ids are judged by id and text. Texts
+count whole, however long; rows that are equal throughout are copies, of which one stays. An empty table gives no rows.
 """
 
 from __future__ import annotations
