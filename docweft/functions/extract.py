@@ -22,7 +22,7 @@ def present(c: Column) -> Column:
 
 def first_match(c: Column, patterns: Sequence[str]) -> Column:
     """group 1 of the first pattern that has a non-empty one, stripped."""
-    return F.coalesce(*[present(strip(F.regexp_extract(c, "(?i)" + p, 1))) for p in patterns], F.lit(None).cast("string"))
+    return F.coalesce(*[present(strip(F.regexp_extract(c, "(?iu)" + p, 1))) for p in patterns], F.lit(None).cast("string"))
 
 
 def first_of(lines: Column, test) -> Column:
@@ -35,7 +35,7 @@ def labelled_line(lines: Column, labels: Sequence[str], longest: int = 700) -> C
 
     A label ends where no letter goes on. ``labels`` are patterns.
     """
-    pattern = rf"(?i)^(?:{'|'.join(labels)}){NOT_AFTER}\s*[:\-–—]?\s*(.*)$"
+    pattern = rf"(?iu)^(?:{'|'.join(labels)}){NOT_AFTER}\s*[:\-–—]?\s*(.*)$"
     pairs = F.arrays_zip(lines.alias("line"), F.slice(F.concat(lines, F.array(F.lit(""))), 2, F.greatest(F.size(lines), F.lit(1))).alias("next"))
     found = F.transform(
         F.filter(pairs, lambda p: p["line"].rlike(pattern)),
@@ -48,7 +48,7 @@ def labelled_line(lines: Column, labels: Sequence[str], longest: int = 700) -> C
 
 def before(c: Column, words: Sequence[str]) -> Column:
     """The text before the first of the words (with white space before it)."""
-    return F.regexp_replace(c, rf"(?is)\s+(?:{'|'.join(words)})\s*[:\-–—]?.*$", "")
+    return F.regexp_replace(c, rf"(?isu)\s+(?:{'|'.join(words)})\s*[:\-–—]?.*$", "")
 
 
 def reference_number(lines: Column) -> Column:
@@ -74,16 +74,21 @@ def normalised_date(c: Column) -> Column:
 
 
 def date_candidates(c: Column) -> Column:
-    """all day-first and year-first dates with their calendar validity: array of (text, valid)."""
+    """all day-first, then all year-first dates with their offsets and calendar validity: array of (text, start, end, valid)."""
     edge, end = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
-    day = F.regexp_extract_all(c, F.lit(rf"{edge}(\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{4}}){end}"), 1)
-    year = F.regexp_extract_all(c, F.lit(rf"{edge}(\d{{4}}[/-]\d{{1,2}}[/-]\d{{1,2}}){end}"), 1)
+    length = lambda parts: F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x))
 
-    def judged(found: Column, form: str) -> Column:
+    def judged(pattern: str, form: str) -> Column:
+        found, between = F.regexp_extract_all(c, F.lit(f"({edge}{pattern}{end})"), 1), F.split(c, edge + pattern + end, -1)
         as_date = lambda x: F.try_to_date(F.translate(x, "-", "/"), form)
-        return F.transform(found, lambda x: F.struct(x.alias("text"), as_date(x).isNotNull().alias("valid")))
 
-    return F.concat(judged(day, "d/M/yyyy"), judged(year, "yyyy/M/d"))
+        def one(x: Column, i: Column) -> Column:
+            start = length(F.slice(between, F.lit(1), i + 1)) + length(F.slice(found, F.lit(1), i))
+            return F.struct(x.alias("text"), start.alias("start"), (start + F.length(x)).alias("end"), as_date(x).isNotNull().alias("valid"))
+
+        return F.transform(found, one)
+
+    return F.concat(judged(r"\d{1,2}[/-]\d{1,2}[/-]\d{4}", "d/M/yyyy"), judged(r"\d{4}[/-]\d{1,2}[/-]\d{1,2}", "yyyy/M/d"))
 
 
 def date_signals(candidates: Column) -> Column:
@@ -96,8 +101,8 @@ def date_signals(candidates: Column) -> Column:
 def official_subject(lines: Column, fallback: Column | None = None) -> Column:
     """(value, source, confidence): the first subject label whose text, with up to four lines until a stop label, has
     8 to 500 characters; else the fallback; else nothing."""
-    label = rf"(?i)^(?:{'|'.join(sorted(fixed.SUBJECT_LABELS[:3], key=len, reverse=True))}){NOT_AFTER}\s*[:：\-–—]?\s*(.*)$"
-    stop = rf"(?i)^(?:(?:{'|'.join(map(quoted, fixed.SUBJECT_STOPS))}){NOT_AFTER}|\d+[.)]\s+)"
+    label = rf"(?iu)^(?:{'|'.join(sorted(fixed.SUBJECT_LABELS[:3], key=len, reverse=True))}){NOT_AFTER}\s*[:：\-–—]?\s*(.*)$"
+    stop = rf"(?iu)^(?:(?:{'|'.join(map(quoted, fixed.SUBJECT_STOPS))}){NOT_AFTER}|\d+[.)]\s+)"
     numbered = F.transform(lines, lambda x, i: F.struct(x.alias("line"), i.alias("i")))
 
     def value(p: Column) -> Column:
@@ -124,12 +129,14 @@ def official_subject(lines: Column, fallback: Column | None = None) -> Column:
     )
 
 
-def rule_subject(lines: Column) -> Column:
-    """the labelled subject up to another label, else the first line of 15 to 220 characters that speaks of a matter."""
+def rule_subject(lines: Column, text: Column | None = None, special: tuple[str, str] = fixed.SPECIAL_SUBJECT) -> Column:
+    """the labelled subject up to another label, else the special subject if its pattern is in ``text``, else the first line
+    of 15 to 220 characters that speaks of a matter."""
     own = present(F.left(F.regexp_replace(before(labelled_line(lines, fixed.SUBJECT_LABELS, 1000), ["प्रसंग", "दिनांक", "पत्रांक", "reference", "memo"]), SIGNS, ""), F.lit(1000)))
-    speaks = r"(?i)संबंध में|हेतु|बारे में|सूचना|आवश्यकता"
-    line = first_of(lines, lambda x: F.length(x).between(15, 220) & x.rlike(speaks) & ~x.rlike(r"(?i)^(?:प्रेषक|जारीकर्ता|पत्रांक|दिनांक)"))
-    return F.coalesce(own, line)
+    speaks = r"(?iu)संबंध में|हेतु|बारे में|सूचना|आवश्यकता"
+    line = first_of(lines, lambda x: F.length(x).between(15, 220) & x.rlike(speaks) & ~x.rlike(r"(?iu)^(?:प्रेषक|जारीकर्ता|पत्रांक|दिनांक)"))
+    by_text = F.when(text.rlike("(?iu)" + special[0]), F.lit(special[1])) if text is not None else F.lit(None).cast("string")
+    return F.coalesce(own, by_text, line)
 
 
 def header_authority(lines: Column, hints: Sequence[str] = fixed.AUTHORITY_HINTS) -> Column:
@@ -149,13 +156,13 @@ def _any_contained(low: Column, terms: Sequence[str]) -> Column:
     return out
 
 
-def rule_authority(lines: Column, text: Column, known: Sequence[str] = fixed.AUTHORITY_HINTS[:6]) -> Column:
+def rule_authority(lines: Column, text: Column, known: Sequence[str] = fixed.KNOWN_AUTHORITIES) -> Column:
     """the labelled sender unless it holds another label; else a known office in the text; else a short office-like line
     among the first 80."""
     own = labelled_line(lines, fixed.AUTHORITY_LABELS, 500)
-    own = F.when(~own.rlike(r"(?i)विषय|subject|पत्रांक|दिनांक|reference|memo"), own)
+    own = F.when(~own.rlike(r"(?iu)विषय|subject|पत्रांक|दिनांक|reference|memo"), own)
     named = F.coalesce(*[F.when(F.lower(text).contains(k.lower()), F.lit(k)) for k in known])
-    like = lambda words: "(?i)" + "|".join(map(quoted, words))
+    like = lambda words: "(?iu)" + "|".join(map(quoted, words))
     line = first_of(
         F.slice(lines, 1, 80),
         lambda x: (F.length(x) <= 180) & ~x.rlike(like(fixed.NOT_OFFICE_WORDS)) & x.rlike(like(fixed.OFFICE_WORDS)),
@@ -163,11 +170,18 @@ def rule_authority(lines: Column, text: Column, known: Sequence[str] = fixed.AUT
     return F.coalesce(own, named, line)
 
 
+def script_authority(c: Column) -> Column:
+    """F25, script version: what follows an issuing label, else from a known kind of office on to the line's end; without
+    a greeting in front, under its canonical name; null if nothing is left."""
+    found = present(clean_field(first_match(c, fixed.AUTHORITY_PATTERNS)))
+    return authority_name(present(strip(F.regexp_replace(found, "(?iu)" + fixed.GREETINGS, ""))))
+
+
 def authority_name(c: Column) -> Column:
     """the canonical name of an office, the stripped value if no rule knows it."""
     out = strip(c)
     for pattern, name in reversed(fixed.AUTHORITY_NAMES):
-        out = F.when(c.rlike("(?i)" + pattern), F.lit(name)).otherwise(out)
+        out = F.when(c.rlike("(?iu)" + pattern), F.lit(name)).otherwise(out)
     return out
 
 
@@ -187,20 +201,35 @@ def deadline(c: Column) -> Column:
 
 def action_lines(lines: Column, most: int = 5) -> Column:
     """lines that ask for something."""
-    asks = "(?i)" + "|".join(f"(?:{p})" for p in fixed.ACTION_PATTERNS)
+    asks = "(?iu)" + "|".join(f"(?:{p})" for p in fixed.ACTION_PATTERNS)
     return F.slice(F.transform(F.filter(lines, lambda x: x.rlike(asks)), lambda x: F.left(x, F.lit(500))), 1, most)
 
 
+def required_action(c: Column) -> Column:
+    """what follows words that ask for an action, else a standing text where the letter is urgent, else null."""
+    asked = present(clean_field(first_match(c, [fixed.REQUIRED_ACTION])))
+    return F.coalesce(asked, F.when(c.rlike("(?iu)" + fixed.IMMEDIATE), F.lit(fixed.IMMEDIATE_ACTION)))
+
+
 def priority(c: Column) -> Column:
     """F29."""
-    return F.when(c.rlike("(?i)" + fixed.URGENT), "HIGH").otherwise("NORMAL")
+    return F.when(c.rlike("(?iu)" + fixed.URGENT), "HIGH").otherwise("NORMAL")
 
 
 def category(c: Column, cascade: Sequence[tuple[str, str]] = fixed.CATEGORY_CASCADE) -> Column:
     """the first category whose pattern occurs, else Other."""
     out = F.lit("Other")
     for pattern, name in reversed(cascade):
-        out = F.when(c.rlike("(?i)" + pattern), F.lit(name)).otherwise(out)
+        out = F.when(c.rlike("(?iu)" + pattern), F.lit(name)).otherwise(out)
+    return out
+
+
+def rule_category(c: Column, rules: Sequence[tuple[str, str, str]] = fixed.CATEGORY_RULES) -> Column:
+    """F30, rule version: (key, label) of the first rule whose pattern occurs, else other."""
+    both = lambda key, label: F.struct(F.lit(key).alias("key"), F.lit(label).alias("label"))
+    out = both("other", "Other")
+    for pattern, key, label in reversed(rules):
+        out = F.when(F.coalesce(c.rlike("(?iu)" + pattern), F.lit(False)), both(key, label)).otherwise(out)
     return out
 
 
@@ -210,10 +239,26 @@ def filled_confidence(fields: Sequence[Column]) -> Column:
     return F.when(n >= 4, "HIGH").when(n >= 2, "MEDIUM").otherwise("LOW")
 
 
-def taxonomy_key(label: Column, keys: Mapping[str, str]) -> Column:
-    """F32: the key of a label, ``other`` for one that is not listed."""
-    listed = F.create_map(*[F.lit(x) for pair in keys.items() for x in pair]) if keys else F.lit(None).cast("map<string,string>")
-    return F.coalesce(F.try_element_at(listed, label), F.lit("other"))
+def _listed(c: Column, values: Mapping[str, str]) -> Column:
+    listed = F.create_map(*[F.lit(x) for pair in values.items() for x in pair]) if values else F.lit(None).cast("map<string,string>")
+    return F.try_element_at(listed, c)
+
+
+def taxonomy_key(label: Column, keys: Mapping[str, str] = fixed.TAXONOMY_KEYS) -> Column:
+    """F32: the key of a label whatever its case, ``other`` for one that is not listed or null."""
+    return F.coalesce(_listed(F.lower(label), keys), F.lit("other"))
+
+
+def type_category(kind: Column, confidence: Column, keys: Mapping[str, str] = fixed.TAXONOMY_KEYS, labels: Mapping[str, str] = fixed.TYPE_LABELS) -> Column:
+    """F32: (key, label, confidence) of a document type: only a key of the taxonomy is given, else other; the label is the type's own, or
+    its name in title case; a confidence that is none of HIGH, MEDIUM, LOW is LOW."""
+    kind = F.coalesce(present(F.lower(strip(kind))), F.lit("other"))
+    sure = F.upper(F.coalesce(present(confidence), F.lit("LOW")))
+    return F.struct(
+        F.when(kind.isin(*keys.values()), kind).otherwise("other").alias("key"),
+        F.coalesce(_listed(kind, labels), F.initcap(F.replace(kind, F.lit("_"), F.lit(" ")))).alias("label"),
+        F.when(sure.isin("HIGH", "MEDIUM", "LOW"), sure).otherwise("LOW").alias("confidence"),
+    )
 
 
 def merged_field(found: Column, found_confidence: Column, rule: Column) -> Column:
@@ -228,10 +273,19 @@ def merged_field(found: Column, found_confidence: Column, rule: Column) -> Colum
 
 def short_description(lines: Column) -> Column:
     """the first two lines of 15 characters or more that are no address, 500 characters at most; null if none."""
-    useful = F.filter(lines, lambda x: (F.length(x) >= 15) & ~x.rlike(r"(?i)^https?://"))
+    useful = F.filter(lines, lambda x: (F.length(x) >= 15) & ~x.rlike(r"(?iu)^https?://"))
     return present(F.left(F.array_join(F.slice(useful, 1, 2), " "), F.lit(500)))
 
 
+def templated_description(subject: Column, actions: Column, category: Column) -> Column:
+    """F34, templated: subject and first action (220 characters at most), or category and subject; null without a subject."""
+    subject = F.regexp_replace(present(subject), r"\.+$", "")
+    first = F.get(actions, F.lit(0))
+    a, b, end = map(F.lit, fixed.DESCRIPTION_WITH_ACTION)
+    x, y, z = map(F.lit, fixed.DESCRIPTION_PLAIN)
+    return F.when(first.isNotNull(), F.concat(a, subject, b, F.left(first, F.lit(220)), end)).otherwise(F.concat(x, category, y, subject, z))
+
+
 def clean_field(c: Column) -> Column:
     """F35."""
     return F.left(strip(F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"^[\s:：.\-]+|[\s:：.\-]+$", "")), F.lit(500))
@@ -251,21 +305,27 @@ def document_type(c: Column, rules: Mapping[str, Sequence[str]] = fixed.TYPE_RUL
     )
 
 
-def document_intelligence(c: Column, normalised_subject: Column | None = None) -> Column:
-    """authority, subject, type, actions and deadlines of a text as one struct, without Python."""
+def document_intelligence(c: Column, normalised_subject: Column | None = None, offices: Mapping[str, Sequence[str]] | None = None) -> Column:
+    """authority, subject, type, actions, deadlines, the office that a vocabulary knows (A11) and the templated description of
+    a text as one struct, without Python."""
+    from docweft.operators.vocab import resolve
+
     lines = text_lines(c)
+    subject, kind, actions = official_subject(lines, normalised_subject), document_type(c), action_lines(lines)
     return F.struct(
         header_authority(lines).alias("authority"),
-        official_subject(lines, normalised_subject).alias("subject"),
-        document_type(c).alias("document_type"),
-        action_lines(lines).alias("actions"),
+        subject.alias("subject"),
+        kind.alias("document_type"),
+        actions.alias("actions"),
         deadlines(F.coalesce(c, F.lit(""))).alias("deadlines"),
+        resolve(F.coalesce(c, F.lit("")), offices or {}).alias("office"),
+        templated_description(subject["value"], actions, kind["value"]).alias("description"),
     )
 
 
 def heading_kind(c: Column) -> Column:
     """heading_signal, body or unknown: a numbered or lettered line, or one that begins with a heading label."""
     text = strip(F.coalesce(c, F.lit("")))
-    label = rf"(?i)^(?:[0-9]+[.)]|[क-ह][.)]|[A-Z][.)]|(?:{'|'.join(fixed.HEADING_LABELS)}){NOT_AFTER})"
+    label = rf"(?iu)^(?:[0-9]+[.)]|[क-ह][.)]|[A-Z][.)]|(?:{'|'.join(fixed.HEADING_LABELS)}){NOT_AFTER})"
     return F.when(text == "", "unknown").when(text.rlike(label), "heading_signal").otherwise("body")
 

@@ -1,6 +1,7 @@
 """Default vocabularies and rule constants. All of them are parameters of the functions that use them."""
 
-# Character equivalents (composed nukta letters to the forms that texts are matched in).
+# Character equivalents (composed nukta letters to the forms that texts are matched in), as code points because
+# the two forms of a pair look alike on a screen.
 UNICODE_EQUIVALENTS = [
     ("\u095c", "\u0921\u093c"),
     ("\u095d", "\u0922\u093c"),
@@ -39,6 +40,51 @@ AUTHORITY_HINTS = [
     "प्रखंड शिक्षा पदाधिकारी", "जिला कार्यक्रम पदाधिकारी", "राज्य परियोजना निदेशक", "Bihar School Examination Board",
     "BSEB", "District Education Officer", "Block Education Officer",
 ]
+# Offices that the rule version looks for anywhere in a text, in order.
+KNOWN_AUTHORITIES = [
+    "बिहार विद्यालय परीक्षा समिति", "बिहार शिक्षा परियोजना परिषद्", "बिहार शिक्षा परियोजना परिषद", "जिला शिक्षा पदाधिकारी",
+    "जिला कार्यक्रम पदाधिकारी", "शिक्षा विभाग, बिहार सरकार", "शिक्षा विभाग बिहार सरकार",
+]
+# The script version's patterns of an issuing office, in order, and openings that are no part of its name.
+AUTHORITY_PATTERNS = [
+    r"(?:जारी\s*करने\s*वाला\s*कार्यालय|जारीकर्ता\s*कार्यालय|जारी\s*कर्ता|जारी\s*करने\s*वाला|निर्गत\s*कर्ता|निर्गतकर्ता|प्रेषक|प्रेषक\s*कार्यालय|कार्यालय|विभाग|from|issued\s*by|issuing\s*authority|office)\s*[:.\-]?\s*([^\r\n]{3,250})",
+    r"((?:शिक्षा\s*विभाग|शिक्षा\s*निदेशालय|माध्यमिक\s*शिक्षा|प्राथमिक\s*शिक्षा|जिला\s*शिक्षा\s*पदाधिकारी|जिला\s*कार्यक्रम\s*पदाधिकारी|जिला\s*शिक्षा\s*कार्यालय|जिला\s*पदाधिकारी|प्रखंड\s*शिक्षा\s*पदाधिकारी|प्रखंड\s*शिक्षा\s*कार्यालय|बिहार\s*विद्यालय\s*परीक्षा\s*समिति|BSEB|Bihar\s*School\s*Examination\s*Board)[^\r\n]{0,180})",
+]
+GREETINGS = r"^(?:मान्यवर|सेवा\s*में|प्रति|श्रीमान|श्रीमती)\s*[:.\-]?\s*"
+# What asks for an action, what makes it immediate, and the text for that.
+REQUIRED_ACTION = r"(?:आवश्यक\s*कार्यवाही|आवश्यक\s*कार्रवाई|कार्यवाही\s*करें|कार्रवाई\s*करें|निर्देश|निर्देशित\s*किया\s*जाता\s*है|required\s*action|action\s*required)\s*[:.\-]?\s*([^\r\n]{5,400})"
+IMMEDIATE = r"अविलंब|तत्काल|अत्यावश्यक|शीघ्र|सत्वर|तुरंत|urgent|immediately"
+IMMEDIATE_ACTION = "Immediate action required"
+# The special subject of the rule version, by pattern.
+SPECIAL_SUBJECT = (
+    r"स्पॉट\s*नामांकन|Spot\s*Admission",
+    "सत्र 2026-28 के लिए इंटरमीडिएट कक्षा में स्पॉट नामांकन (Spot Admission) हेतु तिथि विस्तारित करने के संबंध में सूचना",
+)
+# Three-way categories of the rule version (pattern, key, label); anything else is other.
+CATEGORY_RULES = [
+    (r"स्पॉट\s*नामांकन|नामांकन|admission|OFSS", "admission", "Admission"),
+    (r"बिहार\s*विद्यालय\s*परीक्षा\s*समिति|BSEB", "bseb", "BSEB"),
+]
+# Taxonomy keys of lower-case labels; any other label is "other".
+TAXONOMY_KEYS = {
+    "bseb": "bseb", "examination": "examination", "registration": "registration", "student": "student", "admission": "admission",
+    "payment / fee": "payment_fee", "scholarship": "scholarship", "udise": "udise", "school administration": "school_administration",
+    "teacher / staff": "teacher_staff", "attendance": "attendance", "infrastructure": "infrastructure", "building / repair": "building_repair",
+    "inspection": "inspection", "meeting": "meeting", "training": "training", "government order": "government_order",
+    "district office": "district_office", "block office": "block_office", "notice / circular": "notice_circular", "academic": "academic",
+    "computer science": "computer_science", "data submission": "data_submission", "portal / technical issue": "portal_technical",
+    "deadline / urgent action": "deadline_urgent", "finance / accounts": "finance_accounts", "procurement": "procurement",
+    "general information": "general_information",
+}
+# Labels of document types; any other type is its own name in title case.
+TYPE_LABELS = {
+    "admission": "Admission", "examination": "Examination", "transfer": "Transfer", "service": "Service", "training": "Training",
+    "scholarship": "Scholarship", "holiday": "Holiday", "other": "Other",
+}
+# The two forms of a templated description, around subject and action, and around category and subject.
+DESCRIPTION_WITH_ACTION = ("", "। पत्र में संबंधित कार्यवाही/निर्देश के रूप में ", "।")
+DESCRIPTION_PLAIN = ("यह दस्तावेज़ ", " संबंधी सूचना/निर्देश से संबंधित है: ", ".")
+
 OFFICE_WORDS = ["समिति", "परिषद्", "परिषद", "कार्यालय", "पदाधिकारी", "विभाग", "सरकार", "शिक्षा भवन"]
 NOT_OFFICE_WORDS = ["विषय", "subject", "पत्रांक", "दिनांक", "प्रसंग", "के संबंध में", "संबंधी आवश्यक"]
 
@@ -85,5 +131,8 @@ FAILED_PROCESSING = ["Processing Failed", "Needs Manual Review", "Action Require
 FAILED_STORAGE = ["Processing Failed", "Storage Failed", "Failed", "Error"]
 FAILED_STORAGE_IN_PLANS = ["Processing Failed", "Failed", "Error"]
 
+# Intake states that wait for something.
+OPEN_INTAKE = ["Received", "Stored", "Processing Failed", "Storage Failed", "Storage Partial"]
+
 # Minutes after which a stage counts as stalled.
 STAGE_MINUTES = {"intake": 10, "stored": 20, "processing": 30, "published": 15}

@@ -18,22 +18,26 @@ def merged_recipients(configured: Column, found: Column) -> Column:
 
 
 def delivered_pairs(audits: DataFrame, operation: str) -> DataFrame:
-    """Distinct (document_id, chat_id) of successful deliveries; a missing result counts as sent."""
+    """Distinct (document_id, chat_id) of successful deliveries; a missing result counts as sent.
+
+    The chat is the column ``chat_id``, or, without one, ``$.chat_id`` of the json column ``details``.
+    """
     ok = (F.col("operation") == operation) & (F.coalesce("result", F.lit("Sent")) == "Sent")
-    return audits.where(ok).select("document_id", "chat_id").distinct()
+    chat = F.col("chat_id") if "chat_id" in audits.columns else F.get_json_object("details", "$.chat_id")
+    return audits.where(ok).select("document_id", chat.alias("chat_id")).where("chat_id IS NOT NULL").distinct()
 
 
-def worklist(published: DataFrame, chats: DataFrame, audits: DataFrame, operation: str, most_chats: int = 10_000) -> DataFrame:
+def worklist(published: DataFrame, chats: DataFrame, audits: DataFrame, operation: str, block: int = 1000) -> DataFrame:
     """(document_id, chat_id) still to be delivered.
 
-    Every document goes to every recipient: that is the operator's result, not a step of a join. Recipients are a checked
-    short list (``most_chats``) that travels as an array in the plan; audits are reduced to distinct pairs before the anti join.
+    Every document goes to every recipient: that is the operator's result, not a step of a join. Recipients are dealt by hash
+    into arrays of about ``block``; each document meets each array by its number and then its elements, so any number of
+    recipients works and none passes the driver. Audits are reduced to distinct pairs before the anti join.
     """
-    ids = [r["chat_id"] for r in chats.orderBy("chat_id").limit(most_chats + 1).collect()]
-    if len(ids) > most_chats:
-        raise ValueError(f"more than {most_chats} recipients")
-    every = F.explode(F.array(*map(F.lit, ids)) if ids else F.array().cast("array<string>"))
-    pairs = published.select(F.col("id").alias("document_id"), every.alias("chat_id"))
+    parts = max(1, -(-chats.count() // block))
+    lists = chats.groupBy(F.pmod(F.xxhash64("chat_id"), F.lit(parts)).alias("part")).agg(F.collect_list("chat_id").alias("chats"))
+    every = published.select(F.col("id").alias("document_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+    pairs = every.join(lists, "part").select("document_id", F.explode("chats").alias("chat_id"))
     return pairs.join(delivered_pairs(audits, operation), ["document_id", "chat_id"], "left_anti")
 
 

@@ -6,7 +6,9 @@ greedy order no window expresses, run in Python, one page at a time.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -81,26 +83,46 @@ def _each_page(regions: DataFrame, solve: Callable[[list[dict]], list[tuple]], f
     return some.repartition(parts, *PAGE).sortWithinPartitions(*PAGE).mapInArrow(run, schema)
 
 
-def _group_lines(rows: list[dict], tolerance: int) -> list[list[dict]]:
-    lines: list[list[dict]] = []
-    for r in rows:
-        r["cy"] = (r["y1"] + r["y2"]) / 2
-    for r in sorted(rows, key=lambda r: (r["cy"], r["x1"], r["id"])):
-        near = []
-        for k, line in enumerate(lines):
-            a = line[0]
-            away = abs(a["cy"] - r["cy"])
-            shared = max(0, min(a["y2"], r["y2"]) - max(a["y1"], r["y1"]))
-            share = shared / min(max(1, a["y2"] - a["y1"]), max(1, r["y2"] - r["y1"]))
-            if away <= tolerance or share >= 0.5:
-                near.append((away, k))
-        if near:
-            line = lines[min(near)[1]]
-            line.append(r)
-            line.sort(key=lambda r: (r["x1"], r["id"]))
-        else:
-            lines.append([r])
-    return sorted(lines, key=lambda line: (line[0]["cy"], line[0]["x1"], line[0]["id"]))
+class _Lines:
+    """Visual lines of one page under construction.
+
+    A line is known by its head, the leftmost of its regions; heads stand in ascending order of their centres, so that only those
+    within reach of a region's centre are looked at: a head further up than half of both heights neither is near nor overlaps by half.
+    """
+
+    def __init__(self, page: list[dict], tolerance: int):
+        self.top, self.bottom = [r["y1"] for r in page], [r["y2"] for r in page]
+        self.centre = [(a + b) / 2 for a, b in zip(self.top, self.bottom, strict=True)]
+        self.left = [(r["x1"], r["id"]) for r in page]
+        self.tolerance, self.height = tolerance, [max(1, b - a) for a, b in zip(self.top, self.bottom, strict=True)]
+        self.heads: list[tuple[float, int, int]] = []  # (centre, line, region)
+        self.members: list[list[int]] = []
+
+    def overlap(self, i: int, j: int) -> float:
+        shared = min(self.bottom[i], self.bottom[j]) - max(self.top[i], self.top[j])
+        return max(0, shared) / min(self.height[i], self.height[j])
+
+    def put(self, i: int, tallest: int) -> None:
+        reach = max(self.tolerance, (tallest + self.height[i]) / 2)
+        begin = bisect_left(self.heads, (self.centre[i] - reach, -1, -1))
+        within = ((abs(c - self.centre[i]), line, j) for c, line, j in self.heads[begin:])
+        _, line, head = min((w for w in within if w[0] <= self.tolerance or self.overlap(i, w[2]) >= 0.5), default=(0, None, None))
+        if line is None:
+            line, head = len(self.members), i
+            self.members.append([])
+            insort(self.heads, (self.centre[i], line, i))
+        elif self.left[i] < self.left[head]:
+            del self.heads[bisect_left(self.heads, (self.centre[head], line, head))]
+            insort(self.heads, (self.centre[i], line, i))
+        self.members[line].append(i)
+
+    def solved(self) -> list[list[int]]:
+        """Regions by line, lines from top to bottom, regions from left to right; regions come in order of their centres."""
+        tallest = max(self.height, default=1)
+        for i in sorted(range(len(self.left)), key=lambda i: (self.centre[i], self.left[i])):
+            self.put(i, tallest)
+        lines = [sorted(x, key=self.left.__getitem__) for x in self.members]
+        return sorted(lines, key=lambda x: (self.centre[x[0]], self.left[x[0]]))
 
 
 def lines(regions: DataFrame, *, tolerance: int = 12) -> DataFrame:
@@ -108,7 +130,7 @@ def lines(regions: DataFrame, *, tolerance: int = 12) -> DataFrame:
     is within ``tolerance`` of its centre or overlaps it by half."""
 
     def solve(page: list[dict]) -> list[tuple]:
-        return [(r["id"], i, j) for i, line in enumerate(_group_lines(page, tolerance)) for j, r in enumerate(line)]
+        return [(page[r]["id"], i, j) for i, line in enumerate(_Lines(page, tolerance).solved()) for j, r in enumerate(line)]
 
     return _each_page(regions, solve, "id ID, line int, place int")
 
@@ -137,19 +159,29 @@ def line_texts(regions: DataFrame, placed: DataFrame) -> DataFrame:
     return both.groupBy(*PAGE, "line").agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"))
 
 
+def _anchors(edges: list[list[int]], width: int) -> tuple[list[int], list[int]]:
+    """Left edges, line by line, that are more than ``width`` from all that were taken before, ascending; and in how many lines
+    some edge is within ``width`` of each."""
+    taken: list[int] = []
+    for x in chain.from_iterable(edges):
+        at = bisect_left(taken, x - width)
+        if at == len(taken) or taken[at] > x + width:
+            taken.insert(at, x)
+    support = [0] * len(taken)
+    for line in edges:
+        near = {k for x in line for k in range(bisect_left(taken, x - width), bisect_right(taken, x + width))}
+        for k in near:
+            support[k] += 1
+    return taken, support
+
+
 def table_anchors(regions: DataFrame, *, tolerance: int = 12, least_rows: int = 2, width: int = 12) -> DataFrame:
     """``doc_id, page, column_index, x, support_rows``: left edges that ``least_rows`` lines share."""
 
     def solve(page: list[dict]) -> list[tuple]:
-        made = _group_lines(page, tolerance)
-        anchors: list[int] = []
-        for line in made:
-            for r in line:
-                if all(abs(r["x1"] - a) > width for a in anchors):
-                    anchors.append(r["x1"])
-        support = {a: sum(any(abs(r["x1"] - a) <= width for r in line) for line in made) for a in anchors}
-        kept = [a for a in sorted(anchors) if support[a] >= least_rows] if len(made) >= least_rows else []
-        return [(i, a, support[a]) for i, a in enumerate(kept)]
+        made = [[page[r]["x1"] for r in line] for line in _Lines(page, tolerance).solved()]
+        kept = [(x, n) for x, n in zip(*_anchors(made, width), strict=True) if n >= least_rows <= len(made)]
+        return [(i, x, n) for i, (x, n) in enumerate(kept)]
 
     return _each_page(regions, solve, "column_index int, x int, support_rows int")
 

@@ -139,6 +139,45 @@ def with_intake(docs: DataFrame, intake: DataFrame, key: str = "document_id") ->
     return docs.join(known, "id", "left").withColumn("has_intake", F.coalesce("has_intake", F.lit(False)))
 
 
+def stuck_intake(intake: DataFrame, docs: DataFrame, now: Column, minutes: int = fixed.STAGE_MINUTES["stored"]) -> DataFrame:
+    """``intake_id, status, state, next_action, reason, manual, recoverable`` of each intake row in an open status for longer than the limit.
+
+    The walk starts from intake, so a row without any document (by source id) is judged too, as a document of its id with empty states.
+    """
+    open_rows = intake.where(F.col("status").isin(*fixed.OPEN_INTAKE) & (F.col("received_at") < now - F.expr(f"INTERVAL {int(minutes)} MINUTES")))
+    known = docs.where("source_id IS NOT NULL").groupBy("source_id")
+    known = known.agg(F.max_by(F.struct("id", "processing_status", "publication_status", "approved", "delivery_status"), "id").alias("d"))
+    rows = open_rows.select(F.col("id").alias("intake_id"), "status", "nested_storage_status", "storage_status")
+    rows = rows.join(known, F.col("intake_id") == F.col("source_id"), "left").select("*", F.lit(True).alias("has_intake"), "d.*")
+    rows = rows.withColumn("id", F.coalesce(F.col("id").cast("string"), "intake_id"))
+    states = lifecycle_state(rows).select("intake_id", "status", "state", "next_action", "reason", "manual")
+    return states.withColumn("recoverable", F.col("next_action") != "none")
+
+
+def recovery_counts(states: DataFrame) -> DataFrame:
+    """By state: rows, and how many of them something can be done for."""
+    return states.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.count_if("recoverable").alias("recoverable"))
+
+
+def relink_legacy(docs: DataFrame, intake: DataFrame, extraction_method: str) -> DataFrame:
+    """``id, intake_id, link_kind`` of documents of an old extraction method: by intake's document id, else, for documents with a
+    source id, by intake id = source id, else by the document id inside intake's metadata json. Of several the smallest intake id."""
+    old = docs.where(F.col("extraction_method") == extraction_method).select("id", "source_id")
+    by = lambda key: intake.where(key.isNotNull()).groupBy(key.alias("key")).agg(F.min("id").alias("intake_id"))
+    sourced, text = F.col("source_id").isNotNull(), F.col("id").cast("string")
+    ways = [
+        ("document_id", by(F.col("document_id").cast("string")), text),
+        ("intake_id", by(F.col("id").cast("string")), F.col("source_id").cast("string")),
+        ("metadata", by(F.get_json_object("metadata", "$.document_id")), F.when(sourced, text)),
+    ]
+    found = old
+    for kind, table, key in ways:
+        found = found.withColumn("key", key).join(table.withColumnRenamed("intake_id", f"by_{kind}"), "key", "left").drop("key")
+    kinds = [k for k, _, _ in ways]
+    kind = F.coalesce(*[F.when(F.col(f"by_{k}").isNotNull(), F.lit(k)) for k in kinds])
+    return found.select("id", F.coalesce(*[f"by_{k}" for k in kinds]).alias("intake_id"), kind.alias("link_kind"))
+
+
 def recovery_plan(docs: DataFrame) -> DataFrame:
     """``id, stage, reason`` of the documents that need work, by the first of four rules; rows without id are skipped."""
     processing, publication, storage = F.coalesce("processing_status", F.lit("")), F.coalesce("publication_status", F.lit("")), storage_state()
@@ -187,8 +226,8 @@ def health_issues(
         ],
         age,
     )
-    linked = link_intake(intake, docs).where("linked_id IS NULL").select(F.col("intake_id").alias("id"))
-    late = intake.where((F.col("storage_status") == "Stored") & (age > minutes["stored"]))
+    late = intake.where((F.col("storage_status") == "Stored") & (age > minutes["stored"]))  # few rows: only these are linked
+    linked = link_intake(late, docs).where("linked_id IS NULL").select(F.col("intake_id").alias("id"))
     unprocessed = _findings(late.join(linked, "id", "left_semi"), "intake", [(F.lit(True), "ISSUE", "no_document")], age)
     drift = _findings(link_drift(intake, docs, now, minutes["stored"]), "intake", [(F.lit(True), "WARNING", "link_drift")], age)
     touched = age_minutes(F.coalesce("updated_at", "received_at"), now)

@@ -45,9 +45,12 @@ def document_text(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n").alias("text"))
 
 
-def structure_evidence(regions: DataFrame) -> DataFrame:
-    """By page: headings, and whether there is body text."""
+def structure_evidence(regions: DataFrame, placed: DataFrame | None = None) -> DataFrame:
+    """By page: regions, headings, whether there is body text, and, with ``placed`` (regions in visual lines), the lines."""
     kind = heading_kind(F.col("text"))
-    return regions.groupBy(*PAGE).agg(
+    out = regions.groupBy(*PAGE).agg(
         F.count(F.lit(1)).alias("region_count"), F.count_if(kind == "heading_signal").alias("headings"), F.bool_or(kind == "body").alias("has_body")
     )
+    if placed is None:
+        return out
+    return out.join(placed.groupBy(*PAGE).agg((F.max("line") + 1).alias("line_count")), PAGE, "left")

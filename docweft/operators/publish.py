@@ -13,17 +13,17 @@ from docweft.functions.text import folded, strip
 def gate(docs: DataFrame, *, least_text: int = 80) -> DataFrame:
     """Adds ``gate_ok`` and ``gate_reason`` (failed checks in a fixed order, comma-joined, or ``ok``).
 
-    Three-valued flags: a null ``sensitive`` or ``duplicate`` passes, and ``useful`` fails only where it is false.
+    The checks' names are output values. Three-valued flags: a null ``sensitive`` or ``duplicate`` passes, and ``useful`` fails only where it is false.
     """
     checks = [
         (~F.col("processing_status").eqNullSafe("Completed"), "processing_not_completed"),
         (~F.coalesce(F.col("publication_status") == "Unpublished", F.lit(True)), "publication_not_pending"),
-        (F.coalesce(F.col("backup_id"), F.lit("")) == "", "backup_missing"),
+        (F.coalesce(F.col("backup_id"), F.lit("")) == "", "drive_backup_missing"),
         (F.coalesce("sensitive", F.lit(False)), "sensitive_document"),
         (F.coalesce("duplicate", F.lit(False)), "duplicate_document"),
         (F.col("useful").eqNullSafe(False), "document_marked_not_useful"),
-        (F.length(strip(F.coalesce("full_text", F.lit("")))) < least_text, "insufficient_text"),
-        (strip(F.coalesce("extraction_method", F.lit(""))) == "", "missing_provenance"),
+        (F.length(strip(F.coalesce("full_text", F.lit("")))) < least_text, "insufficient_ocr_text"),
+        (strip(F.coalesce("extraction_method", F.lit(""))) == "", "missing_extraction_provenance"),
     ]
     failed = F.array_compact(F.array(*[F.when(test, name) for test, name in checks]))
     return docs.withColumn("gate_ok", F.size(failed) == 0).withColumn(

@@ -40,8 +40,9 @@ def suggest_category(docs: DataFrame, office: Column, content: Column, definitio
 
 def match_terms(text: Column, vocabulary: Mapping[str, Sequence[str]]) -> Column:
     """Array of (key, term) of the whole words in the text, the longest found term of each key; one pattern for each key."""
-    found = [F.struct(F.lit(k).alias("key"), F.nullif(F.regexp_extract(text, f"(?i)({whole_word(terms)})", 1), F.lit("")).alias("term")) for k, terms in vocabulary.items()]
-    return F.filter(F.array(*found), lambda m: m["term"].isNotNull())
+    found = [F.struct(F.lit(k).alias("key"), F.nullif(F.regexp_extract(text, f"(?iu)({whole_word(terms)})", 1), F.lit("")).alias("term")) for k, terms in vocabulary.items()]
+    none = F.array().cast("array<struct<key:string,term:string>>")
+    return F.filter(F.array(*found), lambda m: m["term"].isNotNull()) if found else none
 
 
 def resolve(text: Column, vocabulary: Mapping[str, Sequence[str]]) -> Column:

@@ -41,9 +41,9 @@ g AS (SELECT *, canonical_id <> id AS duplicate FROM c)"""
 _REASONS = """array_to_string(list_filter([
   CASE WHEN processing_status IS DISTINCT FROM 'Completed' THEN 'processing_not_completed' END,
   CASE WHEN publication_status IS NOT NULL AND publication_status <> 'Unpublished' THEN 'publication_not_pending' END,
-  CASE WHEN coalesce(backup_id, '') = '' THEN 'backup_missing' END, CASE WHEN coalesce(sensitive, false) THEN 'sensitive_document' END,
+  CASE WHEN coalesce(backup_id, '') = '' THEN 'drive_backup_missing' END, CASE WHEN coalesce(sensitive, false) THEN 'sensitive_document' END,
   CASE WHEN duplicate THEN 'duplicate_document' END, CASE WHEN useful = false THEN 'document_marked_not_useful' END,
-  CASE WHEN length(trim(full_text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))) < 80 THEN 'insufficient_text' END], lambda x: x IS NOT NULL), ',')"""
+  CASE WHEN length(trim(full_text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))) < 80 THEN 'insufficient_ocr_text' END], lambda x: x IS NOT NULL), ',')"""
 
 
 def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -550,13 +550,13 @@ def compare_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""WITH t AS (SELECT o_orderkey AS id, 'on ' || (o_orderkey % 35) || '/' || (o_orderkey % 14) || '/' || (1995 + o_orderkey % 9) || ' or ' || strftime(o_orderdate, '%Y-%m-%d') || '.' AS x,
   (o_orderkey % 35) AS d, (o_orderkey % 14) AS mo, (1995 + o_orderkey % 9) AS y FROM orders)
-SELECT id, d || '/' || mo || '/' || y AS text, try_cast(y || '-' || lpad(CAST(mo AS VARCHAR), 2, '0') || '-' || lpad(CAST(d AS VARCHAR), 2, '0') AS DATE) IS NOT NULL AS valid FROM t
-UNION ALL SELECT id, x[-11:-2], true FROM t""")
+SELECT id, d || '/' || mo || '/' || y AS text, CAST(3 AS INT) AS "start", try_cast(y || '-' || lpad(CAST(mo AS VARCHAR), 2, '0') || '-' || lpad(CAST(d AS VARCHAR), 2, '0') AS DATE) IS NOT NULL AS valid FROM t
+UNION ALL SELECT id, x[-11:-2], CAST(length(x) - 11 AS INT), true FROM t""")
 def date_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F19."""
     key = F.col("o_orderkey")
     text = F.concat(F.lit("on "), key % 35, F.lit("/"), key % 14, F.lit("/"), 1995 + key % 9, F.lit(" or "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("."))
-    return m.table(spark, sf_dir, "orders").select(key.alias("id"), F.explode(date_candidates_of(text)).alias("d")).select("id", "d.text", "d.valid")
+    return m.table(spark, sf_dir, "orders").select(key.alias("id"), F.explode(date_candidates_of(text)).alias("d")).select("id", "d.text", "d.start", "d.valid")
 
 
 @query("""SELECT p_partkey AS id, strftime(try_cast((1995 + p_partkey % 9) || '-' || lpad(CAST(p_partkey % 14 AS VARCHAR), 2, '0') || '-' || lpad(CAST(p_partkey % 35 AS VARCHAR), 2, '0') AS DATE), '%Y-%m-%d') AS day FROM part""")

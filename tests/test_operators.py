@@ -47,8 +47,8 @@ def test_gate_nulls(spark):
     ]
     got = {r.id: r.gate_reason for r in publish.gate(spark.createDataFrame(rows, cols)).collect()}
     assert got[1] == "ok"
-    assert got[2] == "publication_not_pending,sensitive_document,duplicate_document,document_marked_not_useful,insufficient_text,missing_provenance"
-    assert got[3] == "processing_not_completed,backup_missing"
+    assert got[2] == "publication_not_pending,sensitive_document,duplicate_document,document_marked_not_useful,insufficient_ocr_text,missing_extraction_provenance"
+    assert got[3] == "processing_not_completed,drive_backup_missing"
 
 
 def test_senders_attachments_and_queue(spark):
@@ -79,8 +79,9 @@ def test_worklist_is_idempotent(spark):
     assert sorted(map(tuple, work.collect())) == [(1, "b"), (2, "a"), (2, "b")]
     done = audits.unionByName(work.select("document_id", "chat_id", F.lit("d").alias("operation"), F.lit("Sent").alias("result")))
     assert deliver.worklist(docs, chats, done, "d").count() == 0
-    with pytest.raises(ValueError):
-        deliver.worklist(docs, chats, audits, "d", most_chats=1)
+    assert sorted(map(tuple, deliver.worklist(docs, chats, audits, "d", block=1).collect())) == sorted(map(tuple, work.collect()))
+    by_json = audits.select("document_id", "operation", "result", F.to_json(F.struct("chat_id")).alias("details"))
+    assert sorted(map(tuple, deliver.worklist(docs, chats, by_json, "d").collect())) == sorted(map(tuple, work.collect()))
     row = spark.createDataFrame([(["100", "200", " "], ["200", "300"])], "a array<string>, b array<string>")
     assert row.select(deliver.merged_recipients(F.col("a"), F.col("b"))).first()[0] == ["100", "200", "300"]
 
@@ -252,3 +253,35 @@ def test_dedup_has_no_window_or_self_join(spark):
     out = dedup.canonical_by_checksum(d)
     assert {(r.id, r.canonical_id, r.duplicate) for r in out.collect()} == {(1, 1, False), (2, 1, True), (3, 3, False)}
     assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_match_a_plain_search(spark):
+    """Each region, from top to bottom, joins the nearest line whose leftmost region is near or overlaps it by half."""
+    import random
+
+    from docweft.operators.layout import _anchors, _Lines
+
+    rng = random.Random(4)
+    for _ in range(150):
+        page = []
+        for i in range(rng.randrange(0, 40)):
+            x, y = rng.randrange(0, 300), rng.randrange(0, 150)
+            page.append({"id": f"r{i:02}", "x1": x, "y1": y, "x2": x + 30, "y2": y + rng.choice([0, 5, 20, 60])})
+        mid = lambda r: (r["y1"] + r["y2"]) / 2
+        tall = lambda r: max(1, r["y2"] - r["y1"])
+        want: list[list[dict]] = []
+        for r in sorted(page, key=lambda r: (mid(r), r["x1"], r["id"])):
+            heads = [min(line, key=lambda m: (m["x1"], m["id"])) for line in want]
+            share = [max(0, min(h["y2"], r["y2"]) - max(h["y1"], r["y1"])) / min(tall(h), tall(r)) for h in heads]
+            fits = [(abs(mid(h) - mid(r)), k) for k, h in enumerate(heads) if abs(mid(h) - mid(r)) <= 12 or share[k] >= 0.5]
+            want[min(fits)[1]].append(r) if fits else want.append([r])
+        want = [sorted(line, key=lambda r: (r["x1"], r["id"])) for line in want]
+        want.sort(key=lambda line: (mid(line[0]), line[0]["x1"], line[0]["id"]))
+        got = [[page[i]["id"] for i in line] for line in _Lines(page, 12).solved()]
+        assert got == [[r["id"] for r in line] for line in want]
+        edges = [[r["x1"] for r in line] for line in want]
+        taken, support = _anchors(edges, 12)
+        plain: list[int] = []
+        for x in (x for line in edges for x in line):
+            plain += [x] if min((abs(x - a) for a in plain), default=99) > 12 else []
+        assert taken == sorted(plain) and support == [sum(min(abs(x - a) for x in line) <= 12 for line in edges) for a in taken]

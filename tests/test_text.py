@@ -137,3 +137,26 @@ def test_messages(spark):
     assert value(spark, merged, t='{"a": "1", "z": "2"}', u='{"a": "3", "b": "4"}') == {"a": "3", "b": "4"}
     assert value(spark, messages.title(F.col("t")), t="school_name") == "School Name"
     assert value(spark, messages.evidence(F.col("t"), F.lit(None).cast("int"), F.lit("r1"), F.lit(None).cast("string")), t="s") == {"source": "s", "region_id": "r1"}
+
+
+def test_rules_of_the_second_round(spark):
+    lines = tx.text_lines(F.col("t"), strip_signs=True)
+    council = "बिहार शिक्षा परियोजना परिषद शिक्षा विभाग की बैठक"
+    assert value(spark, ex.rule_authority(lines, F.col("t")), t=council) == "बिहार शिक्षा परियोजना परिषद"
+    assert value(spark, ex.script_authority(F.col("t")), t="Issued by: Office of X\nmore") == "Office of X"
+    assert value(spark, ex.script_authority(F.col("t")), t="x\nBSEB, Patna") == "BSEB"
+    assert value(spark, ex.script_authority(F.col("t")), t="nothing here") is None
+    assert value(spark, ex.required_action(F.col("t")), t="Required action: send the list\nx") == "send the list"
+    assert value(spark, ex.required_action(F.col("t")), t="This is URGENT.") == "Immediate action required"
+    assert value(spark, ex.required_action(F.col("t")), t="plain") is None
+    assert tuple(value(spark, ex.rule_category(F.col("t")), t="Admission notice of BSEB")) == ("admission", "Admission")
+    assert tuple(value(spark, ex.rule_category(F.col("t")), t="bseb")) == ("bseb", "BSEB")
+    assert tuple(value(spark, ex.rule_category(F.col("t")), t=None)) == ("other", "Other")
+    assert value(spark, ex.taxonomy_key(F.col("t")), t="Payment / Fee") == "payment_fee" and value(spark, ex.taxonomy_key(F.col("t")), t="x") == "other"
+    assert tuple(value(spark, ex.type_category(F.col("t"), F.lit("sure")), t="TRANSFER")) == ("other", "Transfer", "LOW")
+    assert tuple(value(spark, ex.type_category(F.col("t"), F.lit("high")), t="data_submission")) == ("data_submission", "Data Submission", "HIGH")
+    found = value(spark, ex.date_candidates(F.col("t")), t="a 31/02/2026, b 1-3-2026; 2026-01-05")
+    assert [(d.text, d.start, d.end, d.valid) for d in found] == [("31/02/2026", 2, 12, False), ("1-3-2026", 16, 24, True), ("2026-01-05", 26, 36, True)]
+    assert value(spark, ex.rule_subject(lines, F.col("t")), t="about Spot Admission now").startswith("सत्र 2026-28")
+    i = value(spark, ex.document_intelligence(F.col("t"), offices={"east": ["East Office"], "west": ["West Office"]}), t="Subject: The training of staff\nfrom the east office")
+    assert i.office.key == "east" and i.description == "यह दस्तावेज़ training संबंधी सूचना/निर्देश से संबंधित है: The training of staff from the east office."
