@@ -47,7 +47,7 @@ class Model:
         at = bisect_right(CLASSES, size) - 1
         return max(1.0, self.least[lang][at] * size) if at >= 0 and lang in self.least else 1.0
 
-    def calibrate(self, margins: list[tuple[str, int, int]], share: float = 0.25, tail: float = 0.02) -> None:
+    def calibrate(self, margins: list[tuple[str, int, int]], share: float = 0.4, tail: float = 0.02) -> None:
         """Set ``least`` from (language, encoded bytes, margin) of rightly judged texts that no dictionary holds: ``share`` of the margin
         for each encoded byte that all but ``tail`` of a language's texts of a class reach. A class with under three texts has half of what the class below it has."""
         found: dict[tuple[str, int], list[float]] = {}
