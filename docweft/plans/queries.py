@@ -510,9 +510,8 @@ v AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS term FROM docume
 def vocab_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of benchmark items that no document has."""
     cases = m.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), F.array_distinct(F.split(F.lower("text"), " ")).alias("expected_terms"))
-    words = m.table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), " ")).alias("term")).distinct()
-    found = cases.select("case_id", F.explode("expected_terms").alias("term"))
-    return found.join(words, "term", "left_anti").select("case_id", "term")
+    words = m.table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), " ")).alias("term"))
+    return vocab.coverage_gaps(cases, words)
 
 
 # --- search, text and files --------------------------------------------------------------------------------------

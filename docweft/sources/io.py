@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,17 @@ def scan(spark: SparkSession, path: str, columns: Sequence[str], where: Column |
     return (rows if where is None else rows.where(where)).select(*columns)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; only a local session may go without and gets a fresh one."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if at is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(at)
+    return at
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """``rows`` (a scan) dealt evenly over the cores when the scan has fewer partitions than there are cores: a small table in one file
     is read by one task otherwise. At most 8 partitions are made of each; a large table stays as it is."""

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from docweft.operators import deliver
+
 WATERMARK = "1 hour"
 
 
@@ -61,6 +63,47 @@ def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame,
     return query
 
 
+def claim_writer(spark: SparkSession, state_path: str, now, lease_minutes: int = 10) -> Callable[[DataFrame, int], None]:
+    """T4: a writer for ``run_available`` that claims each batch's (document_id, chat_id) once.
+
+    The state is a folder of versions, one for each batch number, so a batch that is seen twice writes the same version from the
+    one before it; the newest version is the state. Claimed rows are locked at ``now`` until the lease ends.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        known = claims(spark, state_path, before=number)
+        made = deliver.claim(known, batch, now, lease_minutes)
+        claimed = made.where("claimed").select(
+            "document_id", "chat_id", F.lit("pending").alias("status"), now.alias("locked_at"), "attempts", "first_attempt_at", "last_attempt_at"
+        )
+        rest = known.join(claimed.select("document_id", "chat_id"), ["document_id", "chat_id"], "left_anti")
+        rest.unionByName(claimed).write.mode("overwrite").parquet(f"{state_path}/version={number}")
+
+    return each
+
+
+CLAIMS = "document_id long, chat_id string, status string, locked_at timestamp_ntz, attempts int, first_attempt_at timestamp_ntz, last_attempt_at timestamp_ntz"
+
+
+def claims(spark: SparkSession, state_path: str, before: int | None = None) -> DataFrame:
+    """T4: the newest state that ``claim_writer`` wrote (before a batch number); none yet: no rows."""
+    if before == 0:
+        return spark.createDataFrame([], CLAIMS)
+    if before is not None:
+        return spark.read.schema(CLAIMS).parquet(f"{state_path}/version={before - 1}")
+    versions = spark.read.schema(CLAIMS + ", version int").parquet(state_path)
+    return versions.join(F.broadcast(versions.agg(F.max("version").alias("version"))), "version").drop("version")  # one row
+
+
+def reconciled(published: DataFrame, chats: DataFrame, audits: DataFrame, operation: str, path: str) -> DataFrame:
+    """Work items that are due and not yet queued in the table at ``path``; run again, it appends nothing twice."""
+    due = deliver.worklist(published, chats, audits, operation)
+    spark = published.sparkSession
+    queued = spark.read.schema("document_id long, chat_id string").parquet(path)
+    due.join(queued, ["document_id", "chat_id"], "left_anti").write.mode("append").parquet(path)
+    return spark.read.schema("document_id long, chat_id string").parquet(path)
+
+
 def split_late(batch: DataFrame, at: str, newest, watermark_minutes: int = 60) -> tuple[DataFrame, DataFrame]:
     """Rows on time, and those older than the watermark behind ``newest`` (to a table of late events)."""
     limit = newest - F.expr(f"INTERVAL {int(watermark_minutes)} MINUTES")

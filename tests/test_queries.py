@@ -4,13 +4,13 @@ import os
 
 import duckdb
 import pytest
-from docweft.plans import more_queries  # noqa: F401  registers its queries
+from docweft.plans import file_queries, more_queries  # noqa: F401  registers its queries
 from docweft.plans.queries import QUERIES, SQL
 from verify_queries import canonical
 
 AT = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(AT), reason="the given tables are elsewhere")
-PYTHON = {"page_lines", "page_tables", "text_error_rates", "word_error_corpus"}
+PYTHON = {"page_lines", "page_tables", "text_error_rates", "word_error_corpus", "line_texts", "layout_summaries", "recognised_texts"}
 
 
 @pytest.fixture(scope="module")
