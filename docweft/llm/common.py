@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -65,17 +66,20 @@ def checked_broadcast(small: DataFrame, limit: int = BROADCAST_BYTES) -> DataFra
 HOT_ROWS = 10_000
 
 
-def with_totals(rows: DataFrame, totals: DataFrame, key: str, size: str, how: str = "left") -> DataFrame:
+def with_totals(rows: DataFrame, totals: DataFrame, key: str | list[str], size: str, how: str = "left") -> DataFrame:
     """``rows`` joined (``how``: left or inner) with ``totals``, a stored table of one row for each ``key`` with the group's ``size`` in rows.
 
+    Rows whose key is null in part match nothing and are not shuffled; ``how`` left keeps them.
     Small totals are broadcast. Otherwise groups of ``HOT_ROWS`` or more, of which there are at most rows / ``HOT_ROWS``, are
     broadcast (after a check of their bytes), so that no such group meets in one task, and only the other rows are shuffled.
     """
     if table_bytes(totals) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(totals), key, how)
     hot = checked_broadcast(stored(totals.where(F.col(size) >= HOT_ROWS), "hot-totals"))
-    rest = rows.join(hot, key, "left_anti").join(totals.where(F.col(size) < HOT_ROWS), key, how)
-    return rows.join(hot, key).unionByName(rest)
+    keyed = functools.reduce(Column.__and__, [F.col(c).isNotNull() for c in ([key] if isinstance(key, str) else key)])
+    rest = rows.where(keyed).join(hot, key, "left_anti").join(totals.where(F.col(size) < HOT_ROWS), key, how)
+    out = rows.join(hot, key).unionByName(rest)
+    return out.unionByName(rows.where(~keyed), allowMissingColumns=True) if how == "left" else out
 
 
 def held_out(id_col: str, folds: int, fold: int) -> Column:

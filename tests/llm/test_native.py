@@ -44,6 +44,17 @@ def test_dedup_empty_and_shuffled_join(empty, odd, monkeypatch):
         assert sorted(map(str, ed.exact_dedup(odd, digest_all=True).collect())) == few
 
 
+def test_rows_without_key_are_kept_and_not_shuffled(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, x, 1) for i, x in enumerate(["a", "a", "b", None, "c", None])], "id int, k1 string, k2 int")
+    totals = spark.createDataFrame([("a", 1, 2, 7), ("b", 1, 1, 8)], "k1 string, k2 int, size int, least int")
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    for how, want in (("left", [7, 7, 8, None, None, None]), ("inner", [7, 7, 8])):
+        for size in (64_000_000, 0):
+            monkeypatch.setattr(common, "BROADCAST_BYTES", size)
+            got = common.with_totals(rows, totals, ["k1", "k2"], "size", how).orderBy("id").collect()
+            assert [r["least"] for r in got] == want
+
+
 def test_native_plans_have_no_python(odd):
     for df in (ed.exact_dedup(odd), mixing.mix(odd, domain=F.lit("web"), weights={})):
         plan = df._jdf.queryExecution().executedPlan().toString()
