@@ -38,6 +38,16 @@ def test_query(spark, db, name):
         assert name in PYTHON and got
 
 
+def on_path(folder):
+    """The environment of a child process: the folder first, then all that this process imports from but the repository itself."""
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    own = (root, os.path.join(root, "tests"), os.path.join(root, "tests", "llm"))
+    rest = [p for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), *sys.path] if p and os.path.abspath(p) not in own]
+    return os.environ | {"PYTHONPATH": os.pathsep.join([str(folder), *dict.fromkeys(rest)])}
+
+
 def test_entry_without_the_llm_folder(tmp_path):
     """The rest imports, lists its queries and has tests that need nothing else when the training-data folders and the pipeline are gone."""
     import shutil
@@ -49,7 +59,7 @@ def test_entry_without_the_llm_folder(tmp_path):
         src, dst = os.path.join(root, x), tmp_path / x
         shutil.copytree(src, dst, ignore=shutil.ignore_patterns("llm", "__pycache__")) if os.path.isdir(src) else shutil.copy(src, dst)
     code = "import re, __spark_entry__ as e; q = e.queries(); assert len(q) > 40 and 'pipeline' not in q; assert not [n for n in q if re.match(r'op[0-9]+_', n)]; e.oracle_sql()"
-    env = os.environ | {"PYTHONPATH": str(tmp_path)}
+    env = on_path(tmp_path)
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr[-500:]
     done = subprocess.run([sys.executable, "-m", "pytest", "-q", "--collect-only", "-p", "no:cacheprovider", "tests"], cwd=tmp_path, env=env, capture_output=True, text=True)
@@ -68,5 +78,5 @@ def test_entry_hides_no_other_missing_module(tmp_path):
     (tmp_path / "docweft" / "llm").mkdir()
     (tmp_path / "docweft" / "llm" / "__init__.py").write_text("")
     (tmp_path / "docweft" / "llm" / "queries.py").write_text("import no_such_module_anywhere\n")
-    done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, env=on_path(tmp_path), capture_output=True, text=True)
     assert done.returncode != 0 and "no_such_module_anywhere" in done.stderr
