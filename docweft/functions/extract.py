@@ -8,11 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docweft.functions import fixed_values as fixed
-from docweft.functions.text import NOT_AFTER, header_lines, quoted, strip, text_lines
+from docweft.functions.text import NOT_AFTER, ascii_digits, header_lines, quoted, strip, text_lines
 
 SIGNS = r"^[ :\-–—\t]+|[ :\-–—\t]+$"
 DATE = r"(?<![\p{L}\p{N}_])(\p{Nd}{1,2}[./-]\p{Nd}{1,2}[./-]\p{Nd}{2,4})(?![\p{L}\p{N}_])"
-FULL_DATE = r"(?<![\p{L}\p{N}_])\d{1,2}[./-]\d{1,2}[./-]\d{4}(?![\p{L}\p{N}_])"
+FULL_DATE = r"(?<![\p{L}\p{N}_])\p{Nd}{1,2}[./-]\p{Nd}{1,2}[./-]\p{Nd}{4}(?![\p{L}\p{N}_])"
 
 
 def present(c: Column) -> Column:
@@ -63,24 +63,37 @@ def printed_date(lines: Column, text: Column) -> Column:
     )
 
 
+def script_reference(c: Column) -> Column:
+    """F17, script version: the letters, digits and signs that follow a reference label, else those after a plain number label."""
+    return first_match(c, fixed.REFERENCE_PATTERNS)
+
+
+def script_date(c: Column) -> Column:
+    """F18, script version: the labelled date, in figures or with the month's name, else the first date in figures, as printed."""
+    return F.coalesce(first_match(c, fixed.DATE_PATTERNS), present(F.regexp_extract(c, DATE, 1)))
+
+
 def normalised_date(c: Column) -> Column:
-    """d/m/y (or with dots or dashes; two-digit years are 20yy) as a date; null for anything else and impossible days."""
-    pattern = r"^(\d{1,2})[./-](\d{1,2})[./-](\d{2}|\d{4})$"
-    c = strip(c)
-    year = F.regexp_extract(c, pattern, 3)
-    year = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
+    """d/m/y (or with dots or dashes, digits of any script; years below 100 are 20yy) as a date; null for anything else and
+    impossible days."""
+    pattern = r"^(\d{1,2})[./-](\d{1,2})[./-](\d{2,4})$"
+    c = ascii_digits(strip(c))
+    year = F.regexp_extract(c, pattern, 3).try_cast("int")
+    year = F.lpad(F.when(year < 100, year + 2000).otherwise(year).cast("string"), 4, "0")
     whole = F.concat_ws("/", F.regexp_extract(c, pattern, 1), F.regexp_extract(c, pattern, 2), year)
     return F.when(c.rlike(pattern), F.try_to_date(whole, "d/M/yyyy"))
 
 
 def date_candidates(c: Column) -> Column:
-    """all day-first, then all year-first dates with their offsets and calendar validity: array of (text, start, end, valid)."""
+    """all day-first, then all year-first dates with their offsets and calendar validity: array of (text, start, end, valid).
+
+    Digits may be of any script and are given as they stand."""
     edge, end = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
     length = lambda parts: F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x))
 
     def judged(pattern: str, form: str) -> Column:
         found, between = F.regexp_extract_all(c, F.lit(f"({edge}{pattern}{end})"), 1), F.split(c, edge + pattern + end, -1)
-        as_date = lambda x: F.try_to_date(F.translate(x, "-", "/"), form)
+        as_date = lambda x: F.try_to_date(F.translate(ascii_digits(x), "-", "/"), form)
 
         def one(x: Column, i: Column) -> Column:
             start = length(F.slice(between, F.lit(1), i + 1)) + length(F.slice(found, F.lit(1), i))
@@ -88,7 +101,7 @@ def date_candidates(c: Column) -> Column:
 
         return F.transform(found, one)
 
-    return F.concat(judged(r"\d{1,2}[/-]\d{1,2}[/-]\d{4}", "d/M/yyyy"), judged(r"\d{4}[/-]\d{1,2}[/-]\d{1,2}", "yyyy/M/d"))
+    return F.concat(judged(r"\p{Nd}{1,2}[/-]\p{Nd}{1,2}[/-]\p{Nd}{4}", "d/M/yyyy"), judged(r"\p{Nd}{4}[/-]\p{Nd}{1,2}[/-]\p{Nd}{1,2}", "yyyy/M/d"))
 
 
 def date_signals(candidates: Column) -> Column:
@@ -132,13 +145,17 @@ def official_subject(lines: Column, fallback: Column | None = None) -> Column:
 def rule_subject(lines: Column, text: Column | None = None, special: tuple[str, str] = fixed.SPECIAL_SUBJECT) -> Column:
     """the labelled subject up to another label, else the special subject if its pattern is in ``text``, else the first line
     of 15 to 220 characters that speaks of a matter."""
-    own = present(F.left(F.regexp_replace(before(labelled_line(lines, fixed.SUBJECT_LABELS, 1000), ["प्रसंग", "दिनांक", "पत्रांक", "reference", "memo"]), SIGNS, ""), F.lit(1000)))
-    speaks = r"(?iu)संबंध में|हेतु|बारे में|सूचना|आवश्यकता"
-    line = first_of(lines, lambda x: F.length(x).between(15, 220) & x.rlike(speaks) & ~x.rlike(r"(?iu)^(?:प्रेषक|जारीकर्ता|पत्रांक|दिनांक)"))
+    own = present(F.left(F.regexp_replace(before(labelled_line(lines, fixed.SUBJECT_LABELS, 1000), fixed.AFTER_SUBJECT), SIGNS, ""), F.lit(1000)))
+    line = first_of(lines, lambda x: F.length(x).between(15, 220) & x.rlike("(?iu)" + fixed.MATTER_WORDS) & ~x.rlike("(?iu)" + fixed.OTHER_LABELS))
     by_text = F.when(text.rlike("(?iu)" + special[0]), F.lit(special[1])) if text is not None else F.lit(None).cast("string")
     return F.coalesce(own, by_text, line)
 
 
+def script_subject(c: Column) -> Column:
+    """F23, script version: 5 to 500 characters behind a subject label, cleaned."""
+    return present(clean_field(first_match(c, fixed.SUBJECT_PATTERNS)))
+
+
 def header_authority(lines: Column, hints: Sequence[str] = fixed.AUTHORITY_HINTS) -> Column:
     """(value, source, confidence) of the first header line that names a known office."""
     hit = first_of(header_lines(lines), lambda x: _any_contained(F.lower(x), hints))
@@ -192,9 +209,8 @@ def deadlines(c: Column, most: int = 12) -> Column:
 
 def deadline(c: Column) -> Column:
     """(value, source): a labelled deadline, else any labelled date."""
-    d = r"\s*[:.\-]?\s*([0-9०-९]{1,2}[/.\-][0-9०-९]{1,2}[/.\-][0-9०-९]{2,4})"
-    last = first_match(c, [r"(?:अंतिम\s*तिथि|अंतिम\s*दिन|अंतिम\s*तारीख|last\s*date|deadline|due\s*date)" + d])
-    any_date = first_match(c, [r"(?:दिनांक|date)" + d])
+    labelled, any_label = fixed.DEADLINE_PATTERNS
+    last, any_date = first_match(c, [labelled]), first_match(c, [any_label])
     source = F.when(last.isNotNull(), "label").when(any_date.isNotNull(), "fallback")
     return F.struct(F.coalesce(last, any_date).alias("value"), source.alias("source"))
 
@@ -239,6 +255,12 @@ def filled_confidence(fields: Sequence[Column]) -> Column:
     return F.when(n >= 4, "HIGH").when(n >= 2, "MEDIUM").otherwise("LOW")
 
 
+def rule_confidence(subject: Column, printed: Column, authority: Column) -> Column:
+    """F31, rule version: HIGH with a subject and a date or an authority, else MEDIUM."""
+    dated = present(printed).isNotNull() | present(authority).isNotNull()
+    return F.when(present(subject).isNotNull() & dated, "HIGH").otherwise("MEDIUM")
+
+
 def _listed(c: Column, values: Mapping[str, str]) -> Column:
     listed = F.create_map(*[F.lit(x) for pair in values.items() for x in pair]) if values else F.lit(None).cast("map<string,string>")
     return F.try_element_at(listed, c)
@@ -277,6 +299,22 @@ def short_description(lines: Column) -> Column:
     return present(F.left(F.array_join(F.slice(useful, 1, 2), " "), F.lit(500)))
 
 
+def script_description(lines: Column, subject: Column, authority: Column) -> Column:
+    """F34, script version: the subject, else the first useful lines, else a sentence on the authority; null without any."""
+    sender = F.concat(F.lit(fixed.DESCRIPTION_OF_SENDER), present(authority))
+    return F.coalesce(present(subject), short_description(lines), sender)
+
+
+def detailed_description(filename: Column, subject: Column, authority: Column, printed: Column) -> Column:
+    """F34, detailed: the file's name, then subject, authority and date, or for each that it was not found."""
+    said = [
+        F.coalesce(F.concat(F.lit(before), present(value), F.lit(". ")), F.lit(missing))
+        for value, (before, missing) in zip((subject, authority, printed), fixed.DETAILED_PARTS, strict=True)
+    ]
+    first, rest = fixed.DETAILED_FRAME
+    return F.concat(F.lit(first[0]), F.coalesce(filename, F.lit("")), F.lit(first[1]), *said, F.lit(rest))
+
+
 def templated_description(subject: Column, actions: Column, category: Column) -> Column:
     """F34, templated: subject and first action (220 characters at most), or category and subject; null without a subject."""
     subject = F.regexp_replace(present(subject), r"\.+$", "")

@@ -85,6 +85,7 @@ TYPE_LABELS = {
 DESCRIPTION_WITH_ACTION = ("", "। पत्र में संबंधित कार्यवाही/निर्देश के रूप में ", "।")
 DESCRIPTION_PLAIN = ("यह दस्तावेज़ ", " संबंधी सूचना/निर्देश से संबंधित है: ", ".")
 
+# Words of lines that name an office, and of lines that do not.
 OFFICE_WORDS = ["समिति", "परिषद्", "परिषद", "कार्यालय", "पदाधिकारी", "विभाग", "सरकार", "शिक्षा भवन"]
 NOT_OFFICE_WORDS = ["विषय", "subject", "पत्रांक", "दिनांक", "प्रसंग", "के संबंध में", "संबंधी आवश्यक"]
 
@@ -117,6 +118,7 @@ CATEGORY_CASCADE = [
     (r"छात्रवृत्ति|scholarship|नामांकन|admission|पंजीयन|registration|छात्र|student", "Student / Registration"),
     (r"परीक्षा|exam|मूल्यांकन|evaluation|result|परिणाम", "Examination"),
 ]
+# Words that make a letter urgent.
 URGENT = r"अविलंब|तत्काल|अत्यावश्यक|शीघ्र|सत्वर|तुरंत|urgent|immediately|last\s*date|अंतिम\s*तिथि|अंतिम\s*दिन"
 
 # Lines that ask for something.
@@ -136,3 +138,35 @@ OPEN_INTAKE = ["Received", "Stored", "Processing Failed", "Storage Failed", "Sto
 
 # Minutes after which a stage counts as stalled.
 STAGE_MINUTES = {"intake": 10, "stored": 20, "processing": 30, "published": 15}
+
+# Patterns of the script version for reference numbers, dates and subjects, in order; group 1 is the value.
+REFERENCE_PATTERNS = [
+    r"(?:पत्रांक|पत्र\s*संख्या|ज्ञापांक|ज्ञापन\s*संख्या|क्रमांक|क्र\.\s*सं\.|memo\s*(?:no|number)|letter\s*(?:no|number)|ref(?:erence)?\s*(?:no|number))\s*[:.\-]?\s*([A-Za-z0-9अ-ह०-९/_()\-.]+)",
+    r"(?<![\p{L}\p{N}_])(?:No\.?|संख्या)\s*[:.]?\s*([A-Za-z0-9/_()\-.]{3,})",
+]
+DATE_PATTERNS = [
+    r"(?:दिनांक|दिनांक\s*:-|तिथि|जारी\s*दिनांक|पत्र\s*दिनांक|date)\s*[:.\-]?\s*([0-9०-९]{1,2}[/.\-][0-9०-९]{1,2}[/.\-][0-9०-९]{2,4})",
+    r"(?:दिनांक|date)\s*[:.\-]?\s*([0-9०-९]{1,2}\s+[A-Za-z]{3,12}\s+[0-9०-९]{4})",
+]
+SUBJECT_PATTERNS = [
+    r"(?:विषय|विषयक|subject)\s*[:.\-]?\s*([^\r\n]{5,500})",
+    r"(?:संबंधित\s*विषय)\s*[:.\-]?\s*([^\r\n]{5,500})",
+]
+# Patterns of labelled deadlines and of any labelled date; group 1 is the date.
+DEADLINE_PATTERNS = [
+    r"(?:अंतिम\s*तिथि|अंतिम\s*दिन|अंतिम\s*तारीख|last\s*date|deadline|due\s*date)\s*[:.\-]?\s*([0-9०-९]{1,2}[/.\-][0-9०-९]{1,2}[/.\-][0-9०-९]{2,4})",
+    r"(?:दिनांक|date)\s*[:.\-]?\s*([0-9०-९]{1,2}[/.\-][0-9०-९]{1,2}[/.\-][0-9०-९]{2,4})",
+]
+# Words of a line that states a matter, labels of lines that do not, labels that end a subject.
+MATTER_WORDS = r"संबंध में|हेतु|बारे में|सूचना|आवश्यकता"
+OTHER_LABELS = r"^(?:प्रेषक|जारीकर्ता|पत्रांक|दिनांक)"
+AFTER_SUBJECT = ["प्रसंग", "दिनांक", "पत्रांक", "reference", "memo"]
+# The sentence on a sender; the detailed description: its frame, and for subject, authority and date what stands
+# before the value and what stands for a missing one.
+DESCRIPTION_OF_SENDER = "Official communication from "
+DETAILED_FRAME = (("यह दस्तावेज़ ", " के रूप में प्राप्त हुआ। "), "OCR/पाठ निष्कर्षण के आधार पर विवरण तैयार किया गया है.")
+DETAILED_PARTS = [
+    ("विषय: ", "विषय स्वतः निर्धारित नहीं हो सका। "),
+    ("जारीकर्ता: ", "जारीकर्ता स्वतः निर्धारित नहीं हो सका। "),
+    ("जारी तिथि: ", "जारी तिथि स्वतः निर्धारित नहीं हो सकी। "),
+]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -19,6 +21,16 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, EDGES, "")
 
 
+#: Decimal digits of all scripts but ASCII, and the ASCII digits that they stand for.
+NATIVE_DIGITS = [chr(i) for i in range(128, sys.maxunicode + 1) if unicodedata.category(chr(i)) == "Nd"]
+PLAIN_DIGITS = "".join(str(unicodedata.decimal(x)) for x in NATIVE_DIGITS)
+
+
+def ascii_digits(c: Column) -> Column:
+    """Digits of any script as ASCII digits; for short values, not for whole texts."""
+    return F.when(c.rlike(r"[\p{Nd}&&[^0-9]]"), F.translate(c, "".join(NATIVE_DIGITS), PLAIN_DIGITS)).otherwise(c)
+
+
 def quoted(text: str) -> str:
     """A literal as a regular expression."""
     return "".join("\\" + x if x in r"\.[]{}()*+-?^$|" else x for x in text)
@@ -89,8 +101,8 @@ def phrase_aliases(c: Column, aliases: Mapping[str, str] = fixed.PHRASE_ALIASES)
 
 
 def date_separators(c: Column) -> Column:
-    """F8: ``d . m - yyyy`` to ``d/m/yyyy`` where no digit touches it."""
-    return F.regexp_replace(c, r"(?<!\d)(\d{1,2})\s*[./-]\s*(\d{1,2})\s*[./-]\s*(\d{4})(?!\d)", "$1/$2/$3")
+    """F8: ``d . m - yyyy`` to ``d/m/yyyy`` where no digit touches it; digits of any script, which stay as they are."""
+    return F.regexp_replace(c, r"(?<!\p{Nd})(\p{Nd}{1,2})\s*[./-]\s*(\p{Nd}{1,2})\s*[./-]\s*(\p{Nd}{4})(?!\p{Nd})", "$1/$2/$3")
 
 
 def punctuation(c: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from docweft.functions import fixed_values as fixed
@@ -259,6 +259,19 @@ def outcome_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
+def write_counted(rows: DataFrame, path: str, outcomes: Sequence[str]) -> dict[str, int]:
+    """``rows`` written to ``path`` and counted by ``outcome`` on the way: the counters are metrics of the one job that writes.
+
+    A task that is run again does not count twice. Outcomes that are not listed are under ``other`` if there are any.
+    """
+    seen = Observation("outcomes")
+    counters = [F.count_if(F.col("outcome").eqNullSafe(o)).alias(o) for o in outcomes]
+    rows.observe(seen, F.count(F.lit(1)).alias("_rows"), *counters).write.parquet(path)
+    found = dict(seen.get)
+    other = found.pop("_rows") - sum(found.values())
+    return found | ({"other": other} if other else {})
+
+
 def backward_transitions(events: DataFrame, ranks: Mapping[str, int]) -> DataFrame:
     """Events (``id, at, status, event_id``) whose stage comes before that of the document's previous event."""
     rank = F.lit(None).cast("int")

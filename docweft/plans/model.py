@@ -5,10 +5,19 @@ Columns that the tables lack are derived from their keys by plain arithmetic, th
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweft.sources.io import spread
+from docweft.sources.io import shared_dir, spread  # noqa: F401
+
+
+
+def fresh() -> str:
+    """A name for a folder that no other run has."""
+    return uuid.uuid4().hex
+
 
 NOW = "2024-02-01 00:00:00"
 

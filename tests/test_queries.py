@@ -4,7 +4,7 @@ import os
 
 import duckdb
 import pytest
-from docweft.plans import file_queries, more_queries, stream_queries  # noqa: F401  registers its queries
+from docweft.plans import file_queries, letter_queries, more_queries, stream_queries  # noqa: F401  registers its queries
 from docweft.plans.queries import QUERIES, SQL
 from verify_queries import canonical
 
