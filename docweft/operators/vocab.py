@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweft.functions.text import folded, whole_word
+from docweft.operators.joins import checked_broadcast, stored
 
 
 def term_hits(text: Column, terms: Sequence[str]) -> Column:
@@ -55,6 +56,75 @@ def resolve(text: Column, vocabulary: Mapping[str, Sequence[str]]) -> Column:
     )
 
 
+_WORD, _GAP = r"[\p{L}\p{M}\p{N}_]+", r"[^\p{L}\p{M}\p{N}_]+"
+
+
+def _pieces(c: Column) -> Column:
+    """Words and what stands between them, in turn: put together they are the text."""
+    return F.regexp_extract_all(c, F.lit(f"({_WORD}|{_GAP})"), 1)
+
+
+def compiled_terms(vocabulary: DataFrame) -> DataFrame:
+    """A vocabulary table (``key, term``) as ``match_vocabulary`` looks it up: ``window`` (the lower-case term from its first word to its
+    last), ``head`` (the first word), ``n_words``, and the signs ``pre`` and ``post`` around. Terms without a word match nothing."""
+    pieces = F.col("_pieces")
+    first = F.when(F.get(pieces, F.lit(0)).rlike(f"^{_WORD}$"), 0).otherwise(1)
+    last = F.size(pieces) - F.when(F.element_at(pieces, -1).rlike(f"^{_WORD}$"), 1).otherwise(2)
+    known = vocabulary.where("key IS NOT NULL").select("key", "term", _pieces(F.lower("term")).alias("_pieces")).where(F.exists("_pieces", lambda p: p.rlike(_WORD)))
+    return known.select(
+        "key",
+        F.array_join(F.slice(pieces, first + 1, last - first + 1), "").alias("window"),
+        F.get(pieces, first).alias("head"),
+        F.floor((last - first) / 2 + 1).cast("int").alias("n_words"),
+        F.when(first == 1, F.get(pieces, F.lit(0))).otherwise("").alias("pre"),
+        F.when(last < F.size(pieces) - 1, F.element_at(pieces, -1)).otherwise("").alias("post"),
+    ).distinct()
+
+
+def match_vocabulary(docs: DataFrame, vocabulary: DataFrame, *, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """J12 with a vocabulary of any size: ``id, key, found, place`` for each row's keys, the rows that ``match_terms`` gives.
+
+    ``found`` is the first occurrence of a term of the key as a whole word, whatever its case, the longest there; ``place`` is its number
+    among words and gaps. A text is cut into words once. Each word meets the terms' first words, and only where one
+    does are the stretches that so begin, as long as terms with that first word are, looked up. Both lookups are equi-joins, broadcast while the tables
+    fit (``checked_broadcast``) and shuffled beyond, so the time for a text does not grow with the vocabulary. Null ids are no rows of the result.
+    """
+    terms = stored(compiled_terms(vocabulary), "vocabulary-terms")
+    heads = stored(terms.groupBy("head").agg(F.sort_array(F.collect_set("n_words")).alias("lengths")), "vocabulary-heads")
+    most = terms.agg(F.max("n_words")).first()[0]
+    if most is None:
+        return docs.select(F.col(id_col).alias("id"), F.lit(None).cast(vocabulary.schema["key"].dataType).alias("key"), F.lit("").alias("found"), F.lit(0).alias("place")).limit(0)
+    pieces = F.col("_p")
+    first_word = F.when(F.get(pieces, F.lit(0)).rlike(f"^{_WORD}$"), 0).otherwise(1)
+    words = F.when(F.size(pieces) > first_word, F.sequence(first_word, F.size(pieces) - 1, F.lit(2)))
+    word = lambda i: F.struct(i.alias("place"), F.lower(F.get(pieces, i)).alias("head"), F.get(pieces, i - 1).alias("before"), F.slice(pieces, i + 1, F.lit(2 * most + 1)).alias("ahead"))
+    cut = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), _pieces(F.col(text_col)).alias("_p"))
+    each = cut.select("id", F.explode(F.transform(words, word)).alias("w")).select("id", "w.*")
+    begun = each.join(checked_broadcast(heads), "head").select("id", "place", "before", "ahead", F.explode("lengths").alias("n"))
+    found = F.array_join(F.slice("ahead", F.lit(1), 2 * F.col("n") - 1), "")
+    tried = begun.where(F.size("ahead") >= 2 * F.col("n") - 1).select("id", "place", "before", found.alias("found"), F.lower(found).alias("window"), F.get("ahead", 2 * F.col("n") - 1).alias("after"), (F.size("ahead") <= 2 * F.col("n")).alias("closed"))
+    hits = tried.join(checked_broadcast(terms.drop("head", "n_words")), "window")
+    # signs around a term are part of it, and no word may touch them
+    before, after = F.coalesce("before", F.lit("")), F.coalesce("after", F.lit(""))
+    ok_before = (F.col("pre") == "") | (before.endswith(F.col("pre")) & ((F.length(before) > F.length("pre")) | (F.col("place") == 1)))
+    ok_after = (F.col("post") == "") | (after.startswith(F.col("post")) & ((F.length(after) > F.length("post")) | F.col("closed")))
+    whole = F.concat("pre", "found", "post")
+    hits = hits.where(ok_before & ok_after).select("id", "key", "place", whole.alias("found"))
+    first = F.min(F.struct(F.col("place"), (-F.length("found")).alias("_n"), F.col("found")))
+    return hits.groupBy("id", "key").agg(first.alias("m")).select("id", "key", "m.found", "m.place")
+
+
+def resolve_vocabulary(docs: DataFrame, vocabulary: DataFrame, *, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """A11 with a vocabulary table: ``id, key, ambiguous, candidates`` of each distinct id, as ``resolve`` gives them."""
+    matched = match_vocabulary(docs, vocabulary, id_col=id_col, text_col=text_col)
+    keys = matched.groupBy("id").agg(F.array_sort(F.collect_set(F.col("key").cast("string"))).alias("keys"))
+    both = docs.select(F.col(id_col).alias("id")).distinct().join(keys, "id", "left")
+    n = F.coalesce(F.size("keys"), F.lit(0))
+    return both.select(
+        "id", F.when(n == 1, F.get("keys", F.lit(0))).alias("key"), (n > 1).alias("ambiguous"), F.when(n > 1, F.array_join("keys", ",")).otherwise("").alias("candidates")
+    )
+
+
 def coverage_gaps(cases: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``case_id, term`` of expected terms that no pack has."""
     wanted = cases.select("case_id", F.explode("expected_terms").alias("term")).withColumn("folded", folded(F.col("term")))

@@ -169,3 +169,23 @@ def protected_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = rows.withColumn("valid_to", F.when(F.col("version") == 1, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")))
     renamed = F.when((F.col("category_key") == "k1") & (F.col("version") == 2), "other").otherwise(F.col("display_name"))
     return vocab.protected_changes(rows, after.withColumn("display_name", renamed))
+
+
+# --- vocabulary tables -------------------------------------------------------------------------------------------------
+
+_EDGE = r"[^\p{L}\p{M}\p{N}_]"
+
+
+@query(rf"""WITH b AS (SELECT DISTINCT 'k' || (item_id % 7) AS key, regexp_extract(lower(text), '^[^a-z]*([a-z]+ [a-z]+ [a-z]+)', 1) AS term FROM benchmark
+  UNION SELECT 'w' || (item_id % 3), regexp_extract(lower(text), '([a-z]{{9,}})', 1) FROM benchmark),
+v AS (SELECT * FROM b WHERE term <> ''), d AS (SELECT doc_id AS id, lower(text) AS t FROM documents),
+f AS (SELECT DISTINCT id, key FROM d, v WHERE contains(t, term) AND CASE WHEN contains(t, term) THEN regexp_matches(t, '(^|{_EDGE})' || term || '({_EDGE}|$)') END),
+g AS (SELECT id, list_sort(list(key)) AS ks FROM f GROUP BY id)
+SELECT id, CASE WHEN len(ks) = 1 THEN ks[1] END AS key, coalesce(len(ks) > 1, false) AS ambiguous, CASE WHEN len(ks) > 1 THEN array_to_string(ks, ',') ELSE '' END AS candidates FROM d LEFT JOIN g USING (id)""")
+def vocabulary_table_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S6, J12, A11 with a vocabulary table: the opening words and the first long word of benchmark items, looked up in all documents."""
+    b = m.table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("t"))
+    opening = b.select(F.concat(F.lit("k"), F.col("item_id") % 7).alias("key"), F.regexp_extract("t", "^[^a-z]*([a-z]+ [a-z]+ [a-z]+)", 1).alias("term"))
+    long = b.select(F.concat(F.lit("w"), F.col("item_id") % 3).alias("key"), F.regexp_extract("t", "([a-z]{9,})", 1).alias("term"))
+    docs = m.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return vocab.resolve_vocabulary(docs, opening.unionByName(long).where("term <> ''"))

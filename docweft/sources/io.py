@@ -30,9 +30,21 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: Bytes of files up to which a scan may be dealt over more cores than it has splits.
+SPREAD_BYTES = 256_000_000
+
+
+def scan_bytes(rows: DataFrame) -> int:
+    """Bytes of the files of a scan, as the plan knows them."""
+    return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` (a scan) dealt evenly over the cores when the scan has fewer partitions than there are cores: a small table in one file
-    is read by one task otherwise. At most 8 partitions are made of each; a large table stays as it is."""
+    """``rows`` (a scan) dealt evenly over the cores when its files are small (``SPREAD_BYTES``) and it has fewer partitions than there
+    are cores: a small table in one file is read by one task otherwise. At most 8 partitions are made of each; a larger table is
+    read as it lies, whatever the number of cores, so that its text is not shuffled."""
+    if scan_bytes(rows) > SPREAD_BYTES:
+        return rows
     cores, parts = rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()
     return rows if parts >= cores else rows.repartition(min(cores, max(1, 8 * parts)))
 
