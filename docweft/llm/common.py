@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -11,10 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweft.sources.io import shared_dir, spread
+from docweft.operators.joins import checked_broadcast, stored, table_bytes, with_totals  # noqa: F401
+from docweft.sources.io import shared_dir, spread  # noqa: F401
 
-#: Bytes that a table may have to be broadcast (``table_bytes``); beyond it the same join is shuffled.
-BROADCAST_BYTES = 64_000_000
 #: Texts are handed to a scorer in slices of about this many characters.
 SLICE_CHARS = 2_000_000
 
@@ -33,55 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/docweft/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def table_bytes(df: DataFrame) -> int:
-    """About what a stored table takes in memory: 24 bytes a row, 8 a number, and the lengths of its strings and arrays."""
-    size = F.lit(24)
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
-            size = size + 16 + F.coalesce(F.octet_length(f.name), F.lit(0))
-        elif isinstance(f.dataType, T.ArrayType):
-            each = 8 * len(f.dataType.elementType.fields) + 24 if isinstance(f.dataType.elementType, T.StructType) else 8
-            size = size + 16 + each * F.coalesce(F.size(f.name), F.lit(0))
-        else:
-            size = size + 8
-    return df.agg(F.sum(size.cast("long"))).first()[0] or 0
-
-
-def checked_broadcast(small: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``small`` (a stored table, so that measuring it is one short scan) with a broadcast hint if it has at most ``limit`` bytes.
-
-    Beyond that the table comes back as it is and Spark shuffles the join.
-    """
-    return F.broadcast(small) if table_bytes(small) <= limit else small
-
-
-#: Rows from which on a group's totals are joined apart from the others.
-HOT_ROWS = 10_000
-
-
-def with_totals(rows: DataFrame, totals: DataFrame, key: str | list[str], size: str, how: str = "left") -> DataFrame:
-    """``rows`` joined (``how``: left or inner) with ``totals``, a stored table of one row for each ``key`` with the group's ``size`` in rows.
-
-    Rows whose key is null in part match nothing and are not shuffled; ``how`` left keeps them.
-    Small totals are broadcast. Otherwise groups of ``HOT_ROWS`` or more, of which there are at most rows / ``HOT_ROWS``, are
-    broadcast (after a check of their bytes), so that no such group meets in one task, and only the other rows are shuffled.
-    """
-    if table_bytes(totals) <= BROADCAST_BYTES:
-        return rows.join(F.broadcast(totals), key, how)
-    hot = checked_broadcast(stored(totals.where(F.col(size) >= HOT_ROWS), "hot-totals"))
-    keyed = functools.reduce(Column.__and__, [F.col(c).isNotNull() for c in ([key] if isinstance(key, str) else key)])
-    rest = rows.where(keyed).join(hot, key, "left_anti").join(totals.where(F.col(size) < HOT_ROWS), key, how)
-    out = rows.join(hot, key).unionByName(rest)
-    return out.unionByName(rows.where(~keyed), allowMissingColumns=True) if how == "left" else out
-
-
 def held_out(id_col: str, folds: int, fold: int) -> Column:
     """True for the rows whose crc32 of the id as text leaves ``fold`` modulo ``folds``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds == fold

@@ -11,6 +11,7 @@ import pytest
 from docweft.llm import chat, common, filter_audit, merkle
 from docweft.llm.queries_audit import document_filters
 from docweft.llm.queries_merkle import LOWER, UPPER
+from docweft.operators import joins
 from pyspark.sql import functions as F
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -62,7 +63,7 @@ def test_audit_matches_brute_force(spark, odd, monkeypatch):
     got = audit(rows, labels)
     assert got.columns == cols
     assert sorted(map(tuple, got.collect())) == want
-    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(filter_audit, "BLOCK_BITS", 6)  # many blocks, few cells
     monkeypatch.setattr(filter_audit, "SKETCH_ROWS", 3)
     assert sorted(map(tuple, audit(rows, labels).collect())) == want
