@@ -168,7 +168,8 @@ def line_drops(
     held_first = streamed.where(F.col("kind") == HELD_FIRST).join(edges, ["h1", "h2"]).withColumn("places", later)
     for more in (held, first, held_first):
         dropped = dropped.unionByName(more.select(*cols))
-    by_doc = dropped.groupBy("doc_id", "text_key", "n_lines").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    # a set: rows that repeat id and text give each key's places again, and only once are they held
+    by_doc = dropped.groupBy("doc_id", "text_key", "n_lines").agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"))
     by_doc = by_doc.where(F.size("places") > 0)
 
     def bitmaps(batches):

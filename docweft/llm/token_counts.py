@@ -42,7 +42,8 @@ def count_tokens(
     1. Every row gets the SHA-256 of its content (null counts as empty); no text moves.
     2. Of each distinct content one row, the one with the smallest id, stands for it unless the cache folder has its
        count for this tokenizer version. The other rows are told by id and digest, a narrow table that is
-       broadcast if small and shuffled otherwise.
+       broadcast if small and shuffled otherwise. Where several rows of a content have its smallest id (or none has an id), one
+       of their texts is taken by an aggregation with a partial step, so that each content is encoded once whatever the ids.
     3. The misses are encoded and appended to the cache; all rows then join the counts by digest.
 
     A task that is run again appends nothing twice (the write commits as a whole); rows that two
@@ -61,7 +62,10 @@ def count_tokens(
     first = stored(first, "token-contents")
     known = read_cache(spark, cache, version)
     repeated = stored(first.where("n > 1"), "token-repeated")
-    again = with_totals(rows, repeated, "content", "n", "inner").where("doc_id > first_id OR (doc_id IS NULL AND first_id IS NOT NULL)")
+    copies = with_totals(rows, repeated, "content", "n", "inner")
+    again = copies.where("doc_id > first_id OR (doc_id IS NULL AND first_id IS NOT NULL)")
+    twins = copies.where("doc_id <=> first_id").groupBy("content").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("content")
+    twins = stored(twins, "token-twins")  # contents whose smallest id is on several rows
     held = stored(first.join(known, "content"), "token-known")  # contents, not rows: no copy is hot
     skipped = again.select("doc_id", "content").unionByName(with_totals(rows, held, "content", "n", "inner").select("doc_id", "content"))
     skipped = stored(skipped.distinct(), "token-skips")
@@ -69,14 +73,17 @@ def count_tokens(
     missing = docs.select(F.col(id_col).alias("doc_id"), content.alias("content"), F.col(text_col).alias("text")).alias("d")
     skips = checked_broadcast(skipped).alias("s")
     same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.content") == F.col("s.content"))
-    missing = missing.join(skips, same, "left_anti")
+    missing = missing.join(skips, same, "left_anti").select("d.content", "d.text")
+    if not twins.isEmpty():
+        alike = checked_broadcast(twins)
+        several = missing.join(alike, "content", "left_semi").groupBy("content").agg(F.first("text").alias("text"))
+        missing = missing.join(alike, "content", "left_anti").unionByName(several)
 
     def start():
         encoder = encoder_for(tokenizer)
         return lambda texts: [encoder.counts(texts)]
 
     counted = map_texts(missing, "text", ["content"], "n_tokens long", start)
-    counted = counted.dropDuplicates(["content"])  # rows that repeat id and text were encoded side by side
     counted.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").partitionBy("tokenizer").parquet(cache)
     counts = stored(first.select("content", "n").join(read_cache(spark, cache, version), "content"), "token-counts")
     return with_totals(rows, counts, "content", "n", "inner").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -37,6 +37,14 @@ def test_token_counts_equal_the_library(spark, odd, empty):
     assert token_counts.count_tokens(empty, tokenizer=tokenizer_path(), cache=own_cache(spark)).count() == 0
 
 
+def test_each_content_is_encoded_once_whatever_the_ids(spark):
+    rows = [(None, "one text")] * 300 + [(7, "another")] * 50 + [(7, "one text"), (3, None), (3, ""), (4, "third"), (2, "third")]
+    cache = own_cache(spark)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert token_counts.count_tokens(docs, tokenizer=tokenizer_path(), cache=cache).count() == len(rows)
+    assert spark.read.parquet(cache).count() == 4  # nothing is dropped before the cache is written
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model", "word_bpe_49k.json"])
 def test_pieces_equal_whole_texts(name):
     encoder = PieceEncoder(tokenizer_path(name))
@@ -134,6 +142,13 @@ def test_lines_match_brute_force(spark, keep_first, min_docs, per_range):
         assert "\n".join(ld.kept_lines(t, got[i].keep_bitmap, (t or "").count("\n") + 1)) == want[n], (i, t)
 
 
+def test_repeated_rows_of_many_lines(spark):
+    text = "\n".join(f"line {i}" for i in range(40)) + "\nown"
+    rows = [(None, text)] * 400 + [(5, text)] * 30 + [(6, "own\nline 3\nelse")]
+    drops = ld.line_drops(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), min_docs=10, lines_per_range=500)
+    assert sorted((str(r.doc_id), r.n_lines, r.n_dropped) for r in drops.collect()) == [("5", 41, 41), ("6", 3, 2), ("None", 41, 41)]
+
+
 def test_line_digests_on_odd_rows(odd, empty):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     want = brute_lines(rows, 2, 1, False)
