@@ -34,9 +34,9 @@ def exact_dedup(
     ``digest_all`` hashes the other rows too, only so that ``text_sha256`` is filled in for them
     (else it is null outside the groups).
 
-    Null and empty texts are equal. The smallest id of a group stays; a null id is never smaller than
-    another, and every row that bears the kept id is kept (rows that repeat an id count singly in
-    ``group_size``). Other columns of ``docs`` are ignored; an empty table gives no rows.
+    Null and empty texts are equal, texts count whole. The row with the smallest id of a group stays; a null id is never smaller
+    than another, and of several rows with that id one stays, the first as the digests were written (rows that repeat an id
+    count singly in ``group_size``). Other columns of ``docs`` are ignored; an empty table gives no rows.
     """
     text = normalised(F.col(text_col))
     shape = [F.length(text).alias("len"), F.xxhash64(F.substring(text, 1, prefix_chars)).alias("prefix")]
@@ -52,15 +52,14 @@ def exact_dedup(
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), *shape)
     rows = rows.join(pairs, ["len", "prefix"], "left")
     digest = F.unhex(F.sha2("text", 256))
-    rows = stored(
-        rows.select("doc_id", "open", (digest if digest_all else F.when(F.col("open"), digest)).alias("digest")),
-        "dedup-digests",
-    )
+    rows = rows.select("doc_id", "open", (digest if digest_all else F.when(F.col("open"), digest)).alias("digest"))
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "dedup-digests")  # written, so the numbers stay
     groups = (
         rows.where("open")
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        .agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("first"), F.count(F.lit(1)).alias("group_size"))
         .where("group_size > 1")
+        .select("digest", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"), "group_size")
     )
     groups = stored(groups, "dedup-groups")
     single = F.col("group_size").isNull()
@@ -69,6 +68,6 @@ def exact_dedup(
         "doc_id",
         keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep).alias("kept"),
+        (single | (F.col("row") == F.col("keep_row"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )

@@ -4,10 +4,10 @@ import hashlib
 import re
 from collections import defaultdict
 
-from docweft.llm import common
+from docweft.llm import common, mixing
 from docweft.llm import exact_dedup as ed
-from docweft.llm import mixing
 from docweft.llm.queries_native import source_domain
+from docweft.operators import joins
 from pyspark.sql import functions as F
 
 
@@ -25,7 +25,15 @@ def test_dedup_matches_brute_force(odd):
     )
     got = ed.exact_dedup(odd, digest_all=True).collect()
     assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.text_sha256) for r in got) == want
-    assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
+    assert all(r.doc_id == r.keep_id for r in got if r.kept)
+    kept = [r.text_sha256 for r in got if r.kept]
+    assert len(kept) == len(set(kept)) == len(groups)  # one row of each text, though ids repeat
+
+
+def test_dedup_keeps_one_of_equal_rows(spark):
+    rows = [(1, "a"), (1, "a"), (2, "a"), (None, "b"), (None, "b"), (None, "c"), (3, "c")]
+    got = ed.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((str(r.doc_id), r.group_size) for r in got if r.kept) == [("1", 3), ("3", 2), ("None", 2)]
 
 
 def test_dedup_reads_only_surviving_groups(odd):
@@ -38,19 +46,19 @@ def test_dedup_empty_and_shuffled_join(empty, odd, monkeypatch):
     assert ed.exact_dedup(empty).count() == 0
     few = sorted(map(str, ed.exact_dedup(odd, digest_all=True).collect()))
     monkeypatch.setattr(ed, "checked_broadcast", lambda small, limit=0: small)
-    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
     for hot in (10_000, 3):  # no group, or those of three rows and more, apart from the others
-        monkeypatch.setattr(common, "HOT_ROWS", hot)
+        monkeypatch.setattr(joins, "HOT_ROWS", hot)
         assert sorted(map(str, ed.exact_dedup(odd, digest_all=True).collect())) == few
 
 
 def test_rows_without_key_are_kept_and_not_shuffled(spark, monkeypatch):
     rows = spark.createDataFrame([(i, x, 1) for i, x in enumerate(["a", "a", "b", None, "c", None])], "id int, k1 string, k2 int")
     totals = spark.createDataFrame([("a", 1, 2, 7), ("b", 1, 1, 8)], "k1 string, k2 int, size int, least int")
-    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    monkeypatch.setattr(joins, "HOT_ROWS", 2)
     for how, want in (("left", [7, 7, 8, None, None, None]), ("inner", [7, 7, 8])):
         for size in (64_000_000, 0):
-            monkeypatch.setattr(common, "BROADCAST_BYTES", size)
+            monkeypatch.setattr(joins, "BROADCAST_BYTES", size)
             got = common.with_totals(rows, totals, ["k1", "k2"], "size", how).orderBy("id").collect()
             assert [r["least"] for r in got] == want
 
