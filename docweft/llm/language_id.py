@@ -124,7 +124,7 @@ def fit(
     An eighth of them stays out: the margins of their texts set the least margins by language and size (``Model.calibrate``).
 
     A row's pieces come from hashed places of its whole text (``pieces``), so no shared opening fills a dictionary. Every
-    label is learned; beyond 200 of them ``model_bytes`` is shared among the dictionaries. Rows with null label or
+    label is learned, however few letters its rows have; beyond 200 of them ``model_bytes`` is shared among the dictionaries. Rows with null label or
     without letters teach nothing. The sample is chosen by bounded heaps in the tasks (a limit on row number by language).
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
@@ -153,7 +153,8 @@ def fit(
             text.setdefault(r["lang"], []).append(data)
             size[r["lang"]] = size.get(r["lang"], 0) + len(data) + 1
     joined = {x: b" ".join(t)[:dictionary_bytes] for x, t in text.items()}
-    model = Model({x: t for x, t in joined.items() if len(t) >= 8}, rows)
+    # a dictionary has eight bytes at least; fewer letters are repeated
+    model = Model({x: t if len(t) >= 8 else b" ".join([t] * 8) for x, t in joined.items()}, rows)
     most = max(8, min(60, 1200 // max(1, len(outside))))
     cut = [(x, t[i : i + c]) for c in (16 << i for i in range(11)) for x, t in sorted(outside.items()) for i in range(0, min(len(t) - c + 1, most * c), c)]
     if cut:

@@ -98,6 +98,13 @@ def test_language_learns_bodies_and_every_label(spark):
     assert len(model.langs) == 230 and {r.lang_pred == r.lang for r in language_id.identify(many, model, carry=["lang"]).collect()} == {True}
 
 
+def test_language_learns_a_label_of_a_few_letters(spark):
+    rows = [(i, "the quick brown fox jumps over it " * 3, "en") for i in range(20)] + [(99, "zażó", "pl")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.identify(docs, language_id.fit(docs), carry=["doc_id"]).where("doc_id = 99").first()
+    assert got.lang_pred == "pl"
+
+
 def test_language_learns_rows_of_one_id(spark):
     rows = [(None if i % 2 else 7, made_up(x, 30, i), x) for i, x in enumerate(["en", "de", "fr"] * 500)]
     rows += [(9, "juo nnen sskayy öölla", "fi")] * 1000  # equal rows

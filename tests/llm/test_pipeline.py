@@ -115,6 +115,15 @@ def test_near_duplicates_with_repeated_and_null_ids(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(5, a, "de", "s", 1), (2, b, "en", "s", 1), (9, c, "en", "s", 1), (None, d, "en", "s", 1), (None, e, "en", "s", 1)]))
 
 
+def test_near_duplicates_when_keys_collide(spark, stages, monkeypatch):
+    """Rows whose hashes are the same are told apart: with seven bits most rows share theirs with others."""
+    docs = stages[0][1][1]
+    want = {r.doc_id for r in stages[0][1][2].collect()}
+    for bits in (1, 7):
+        monkeypatch.setattr(corpus_pipeline, "KEY_BITS", bits)
+        assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, stages[2]).collect()} == want
+
+
 def test_stages_on_odd_rows(spark, odd, empty, stages):
     """Null and repeated ids, null, empty and very long texts, and an empty table go through every stage."""
     cols = ["doc_id", "text", "lang", "source", "n_chars"]
