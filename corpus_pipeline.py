@@ -27,6 +27,8 @@ from docweft.llm.queries_text import tokenizer_path
 #: Share of the tokens that the mix aims for; every document is used once at most.
 MIX_FRACTION = 0.8
 MIX_SEED = 17
+#: Bits of the first hash of a row's key in the near-duplicate stage.
+KEY_BITS = 62
 
 
 def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -39,6 +41,16 @@ def kept(rows: DataFrame, names: dict[str, str]) -> DataFrame:
     return rows.select(*names.values()).toDF(*names)
 
 
+def row_keys(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``rows`` with ``_key``, equal where id and text are: a hash of both, or, where different rows have the same hash, another one
+    from a range of its own. Told apart by both hashes together (``2 * KEY_BITS`` bits), as narrow rows."""
+    h1, h2 = (F.xxhash64(F.lit(seed), F.col(id_col).isNull(), id_col, text_col).bitwiseAND(F.lit(2**bits - 1)) for seed, bits in ((1, KEY_BITS), (2, 62)))
+    same = rows.select(h1.alias("_h1"), h2.alias("_h2")).groupBy("_h1").agg(F.min("_h2").alias("least"), F.max("_h2").alias("most"))
+    same = checked_broadcast(stored(same.where("least <> most").select("_h1", F.lit(True).alias("_same")), "near-keys"))
+    keyed = rows.withColumns({"_h1": h1, "_h2": h2}).join(same, "_h1", "left")
+    return keyed.withColumn("_key", F.when(F.col("_same"), F.col("_h2") + F.lit(2**62)).otherwise(F.col("_h1"))).drop("_h1", "_h2", "_same")
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn the languages from the labelled rows; rows without letters and ties between languages go."""
     tuned(spark)
@@ -57,7 +69,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     tuned(spark)
     rows, names = renamed(docs)
     at, text = names["doc_id"], names["text"]
-    rows = rows.withColumn("_key", F.xxhash64(F.col(at).isNull(), at, text).bitwiseAND(F.lit(2**63 - 1)))
+    rows = row_keys(rows, at, text)
     joined = jaccard_join(rows, id_col="_key", text_col=text).where("linked")
     linked = stored(joined.select(F.col("doc_id").alias("_key"), "component_id").distinct(), "near-linked")
     members = rows.select("_key", at).join(checked_broadcast(linked), "_key").groupBy("component_id", "_key")
