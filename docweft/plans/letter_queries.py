@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from docweft.functions import extract as ex
 from docweft.functions import text as tx
-from docweft.operators import lifecycle, vocab
+from docweft.operators import lifecycle, publish, search_index, vocab
 from docweft.plans import model as m
-from docweft.plans.queries import TS_NOW, now, query
+from docweft.plans.queries import _FOLDED, TS_NOW, now, query
 
 DIGITS = "०१२३४५६७८९"
 
@@ -189,3 +189,13 @@ def vocabulary_table_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = b.select(F.concat(F.lit("w"), F.col("item_id") % 3).alias("key"), F.regexp_extract("t", "([a-z]{9,})", 1).alias("term"))
     docs = m.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return vocab.resolve_vocabulary(docs, opening.unionByName(long).where("term <> ''"))
+
+
+@query(rf"""WITH f AS (SELECT doc_id AS id, lang, {_FOLDED.format("text")} AS t FROM documents WHERE lang = 'fr'),
+s AS (SELECT id, lang, round((2 * CASE WHEN contains(t, 'aux') THEN 1 ELSE 0 END + CASE WHEN contains(t, 'tionre') THEN 1 ELSE 0 END + CASE WHEN contains(t, 'éont') THEN 1 ELSE 0 END) / 4.0, 4) AS score FROM f)
+SELECT id, lang, CAST(score AS DOUBLE) AS score FROM s WHERE score > 0 ORDER BY score DESC, CAST(id AS VARCHAR) LIMIT 20""")
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 20 (the limit is the operator) from an index of all documents."""
+    d = m.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "text")
+    index = search_index.IndexedSearch.build(d, f"{m.shared_dir(spark)}/docweft/index-{m.fresh()}", text=publish.searchable([F.col("text")]), keep=["lang"])
+    return index.search(None, "AUX tionre a éont, aux", filters={"lang": "FR "}).select("id", "lang", "score")
