@@ -55,14 +55,31 @@ def long_char_edits(actual: pd.Series, expected: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.LongType())
-def word_edits(actual: pd.Series, expected: pd.Series) -> pd.Series:
-    """Edits by word; null where either is null."""
+def long_word_edits(actual: pd.Series, expected: pd.Series) -> pd.Series:
+    """Edits by word of such pairs; null where either is null."""
     return pd.Series([None if a is None or b is None else edit_distance(a.split(), b.split()) for a, b in zip(actual, expected, strict=True)], dtype="Int64")
 
 
-@F.pandas_udf(T.LongType())
-def word_count(text: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else len(t.split()) for t in text], dtype="Int64")
+def words(c: Column) -> Column:
+    """Words between white space of any kind."""
+    return F.array_remove(F.split(c, r"[\t-\r\x1c-\x1f\x85\p{Z}]+"), "")
+
+
+def word_edits(actual: Column, expected: Column) -> Column:
+    """edits by word: each word that both texts have is one character, all others of a text are one more, and those strings are compared.
+
+    A word of one text alone matches nothing, whichever it is, so the distance is that of the word lists. Null where either is null.
+    """
+    a, b = words(actual), words(expected)
+    common = F.array_intersect(a, b)
+    symbol = lambda i: F.lpad(F.hex(i), 8, "0")
+    codes = F.map_from_arrays(common, F.transform(common, lambda w, i: symbol(i + 0x10002)))
+
+    def coded(of: Column, other: int) -> Column:
+        each = F.transform(of, lambda w: F.coalesce(F.try_element_at(codes, w), F.lit(f"{other:08x}")))
+        return F.decode(F.unhex(F.array_join(each, "")), "UTF-32")
+
+    return F.levenshtein(coded(a, 0x10000), coded(b, 0x10001)).cast("long")
 
 
 def rate(edits: Column, length: Column) -> Column:
@@ -70,38 +87,40 @@ def rate(edits: Column, length: Column) -> Column:
     return F.when(length == 0, F.when(edits == 0, 0.0).when(edits > 0, 1.0)).otherwise(edits / length)
 
 
-def error_rates(pairs: DataFrame, *, longest: int | None = None, long_parts: int = 200) -> DataFrame:
+def error_rates(pairs: DataFrame, *, longest: int | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """J13's pairs (``case_id, actual, expected``) with ``cer, wer, exact_match, skipped`` and, for pooled rates,
-    ``char_edits, expected_chars, word_edits, expected_words``.
+    ``char_edits, expected_chars, word_edits, expected_words``, after ``case_id`` and the columns to ``carry``.
 
-    Rates are exact for texts of any length. Pairs with a text above ``LONGEST`` characters are dealt row by row to ``long_parts``
-    tasks. Only a caller that sets ``longest`` has pairs above it skipped: those have null rates and say so in ``skipped``.
+    Rates are exact for texts of any length, by Spark's own functions up to ``LONGEST`` characters. Pairs with a longer text are dealt
+    by hash (as many tasks as their bytes need, one if there are none). Only a caller that sets ``longest`` has pairs above it
+    skipped: those have null rates and say so in ``skipped``.
     """
     most = F.greatest(F.length("actual"), F.length("expected"))  # of the text that is not null if one is
     is_long = F.coalesce(most > LONGEST, F.lit(False))
     fits = F.lit(True) if longest is None else (F.length("actual") <= longest) & (F.length("expected") <= longest)
+    kept = ["case_id", *carry]
 
-    def rated(rows: DataFrame, char_edits: Callable[[Column, Column], Column]) -> DataFrame:
+    def rated(rows: DataFrame, chars: Callable[[Column, Column], Column], by_word: Callable[[Column, Column], Column]) -> DataFrame:
         a, b = F.when(fits, F.col("actual")), F.when(fits, F.col("expected"))
         both = a.isNotNull() & b.isNotNull()
         made = rows.select(
-            "case_id",
-            char_edits(a, b).cast("long").alias("char_edits"),
+            *kept,
+            chars(a, b).cast("long").alias("char_edits"),
             F.when(both, F.length(b)).cast("long").alias("expected_chars"),
-            word_edits(a, b).alias("word_edits"),
-            F.when(both, word_count(b)).alias("expected_words"),
+            by_word(a, b).alias("word_edits"),
+            F.when(both, F.size(words(b))).cast("long").alias("expected_words"),
             (strip(F.col("actual")) == strip(F.col("expected"))).alias("exact_match"),
             F.when(~fits, F.lit(f"longer than {longest}")).alias("skipped"),
         )
         return made.select(
-            "case_id",
+            *kept,
             rate(F.col("char_edits"), F.col("expected_chars")).alias("cer"),
             rate(F.col("word_edits"), F.col("expected_words")).alias("wer"),
             "exact_match", "skipped", "char_edits", "expected_chars", "word_edits", "expected_words",
         )
 
-    long = pairs.where(is_long).select("case_id", "actual", "expected").repartition(long_parts)
-    return rated(pairs.where(~is_long), F.levenshtein).unionByName(rated(long, long_char_edits))
+    long = pairs.where(is_long).select(*kept, "actual", "expected").repartition(F.xxhash64("case_id", "actual"))
+    return rated(pairs.where(~is_long), F.levenshtein, word_edits).unionByName(rated(long, long_char_edits, long_word_edits))
 
 
 def corpus_rates(rates: DataFrame, by: str) -> DataFrame:

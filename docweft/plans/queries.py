@@ -675,11 +675,26 @@ def text_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.error_rates(pairs).select("case_id", F.round("cer", 6).alias("cer"), "exact_match")
 
 
-@query()
+def _edits_sql(a: str, b: str) -> str:
+    """Edits between two lists: what both have is a character of its own, all else of a list is one; DuckDB counts bytes, so all are ASCII."""
+    common = f"list_intersect(list_distinct({a}), {b})"
+    coded = lambda of, other: f"array_to_string(list_transform({of}, lambda w: chr(coalesce(2 + nullif(list_position({common}, w), 0), {other})::INT)), '')"
+    return f"levenshtein({coded(a, 1)}, {coded(b, 2)})"
+
+
+_STRIP_SQL = r"regexp_replace(%s, '^[\s\xA0]+|[\s\xA0]+$', '', 'g')"
+
+
+@query(rf"""WITH p AS (SELECT a.role, a.text AS actual, b.text AS expected FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1),
+l AS (SELECT *, list_filter(string_split_regex(actual, '\s+'), lambda w: w <> '') AS wa, list_filter(string_split_regex(expected, '\s+'), lambda w: w <> '') AS wb, string_split(actual, '') AS ca, string_split(expected, '') AS cb FROM p),
+e AS (SELECT role, {_edits_sql("ca", "cb")} AS ce, length(expected) AS cn, {_edits_sql("wa", "wb")} AS we, len(wb) AS wn, {_STRIP_SQL % "actual"} = {_STRIP_SQL % "expected"} AS same FROM l),
+r AS (SELECT *, CASE WHEN cn = 0 THEN CASE WHEN ce = 0 THEN 0.0 ELSE 1.0 END ELSE ce / cn END AS cer, CASE WHEN wn = 0 THEN CASE WHEN we = 0 THEN 0.0 ELSE 1.0 END ELSE we / wn END AS wer FROM e)
+SELECT role, count(*) AS cases, round(avg(cer), 6) AS mean_cer, round(avg(wer), 6) AS mean_wer, round(sum(ce) / nullif(sum(cn), 0), 6) AS pooled_cer, round(sum(we) / nullif(sum(wn), 0), 6) AS pooled_wer,
+  round(avg(CAST(same AS DOUBLE)), 6) AS exact_share FROM r GROUP BY role""")
 def word_error_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word error rates of assistant turns against the turn before, by role."""
     c = m.table(spark, sf_dir, "conversations")
     left = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("expected"))
     pairs = c.join(left, ["conv_id", "turn"]).select(F.concat_ws(":", "conv_id", "turn").alias("case_id"), F.col("text").alias("actual"), "expected", "role")
-    rates = quality.error_rates(pairs).join(pairs.select("case_id", "role"), "case_id")
-    return quality.corpus_rates(rates, "role")
+    rates = quality.corpus_rates(quality.error_rates(pairs, carry=["role"]), "role")
+    return rates.select("role", "cases", *[F.round(c, 6).alias(c) for c in rates.columns[2:]])

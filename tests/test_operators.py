@@ -183,6 +183,15 @@ def test_edit_distance_is_exact():
         assert quality.edit_distance(a, b, block=1 + n % 9) == quality.edit_distance(list(a), list(b)) == brute(a, b)
 
 
+def test_word_edits_are_exact(spark):
+    rng = random.Random(8)
+    some = ["a", "b", "c", "déjà", "x1", "कार्य", "😀", "dd"]
+    text = lambda: "".join(rng.choice(some) + rng.choice([" ", "  ", "\n", "\u2003", "\x1f", "\xa0"]) for _ in range(rng.randrange(25)))
+    rows = [(i, text(), text()) for i in range(200)] + [(200, "", ""), (201, " ", "a"), (202, None, "a"), (203, "w " * 700, " ".join(f"w{i}" for i in range(700)))]
+    got = {r.i: r.e for r in spark.createDataFrame(rows, "i int, a string, b string").select("i", quality.word_edits(F.col("a"), F.col("b")).alias("e")).collect()}
+    assert got == {i: None if a is None else quality.edit_distance(a.split(), b.split()) for i, a, b in rows}
+
+
 def test_long_pairs_have_rates(spark):
     words = [f"w{i % 97}" for i in range(3000)]
     changed = [w if i % 10 else "x" for i, w in enumerate(words)]
