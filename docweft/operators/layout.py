@@ -1,19 +1,15 @@
 """Page layout from regions.
 
-Regions: ``doc_id, page, id, x1, y1, x2, y2, text, confidence``. Everything is by page; only line grouping and table anchors, whose
-greedy order no window expresses, run in Python, one page at a time.
+Regions: ``doc_id, page, id, x1, y1, x2, y2, text, confidence``. Everything is by page; line grouping and table anchors, whose greedy
+order no window expresses, are folds over a page's sorted regions.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
-from collections.abc import Callable, Iterator
-from itertools import chain
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docweft.operators.pages import PAGE
 
@@ -46,93 +42,60 @@ def columns(regions: DataFrame, *, least_regions: int = 2, gap: int = 24) -> Dat
     return out.drop("_new", "_island", "_size", "_all", "_kept", "_rank", "_n")
 
 
-def _each_page(regions: DataFrame, solve: Callable[[list[dict]], list[tuple]], fields: str) -> DataFrame:
-    """Rows that ``solve`` gives for the regions of each page, after the page's key.
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, with the value worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
-    Pages are dealt by key and sorted in their partitions, then streamed, so that a page costs its regions and no call of its own.
-    """
-    some = regions.select(*PAGE, "id", "x1", "y1", "x2", "y2")
-    kinds = {f.name: f.dataType.simpleString() for f in some.schema}
-    schema = T.StructType.fromDDL(", ".join([*(f"{c} {kinds[c]}" for c in PAGE), fields.replace("ID", kinds["id"])]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        arrow = to_arrow_schema(schema)
-
-        def made(rows: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * len(arrow)
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
-
-        key, page, out = None, [], []
-        for batch in batches:
-            for r in batch.to_pylist():
-                if (now := (r["doc_id"], r["page"])) != key:
-                    if page:
-                        out += [(*key, *row) for row in solve(page)]
-                    key, page = now, []
-                page.append(r)
-            if len(out) >= 10_000:
-                yield made(out)
-                out = []
-        if page:
-            out += [(*key, *row) for row in solve(page)]
-        yield made(out)
-
-    parts = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return some.repartition(parts, *PAGE).sortWithinPartitions(*PAGE).mapInArrow(run, schema)
-
-
-class _Lines:
-    """Visual lines of one page under construction.
-
-    A line is known by its head, the leftmost of its regions; heads stand in ascending order of their centres, so that only those
-    within reach of a region's centre are looked at: a head further up than half of both heights neither is near nor overlaps by half.
+
+def page_lines(regions: DataFrame, *, tolerance: int = 12) -> DataFrame:
+    """W4 by page: ``doc_id, page, lines``: visual lines from top to bottom, each a struct with ``members`` (``x1, id``) from left to right.
+
+    A page's regions are folded in order of their centres over an array of the lines so far, each known by its head, the leftmost of its
+    regions. A region joins the nearest line whose head is within ``tolerance`` of its centre or overlaps it by half of the lower
+    of both heights, else it begins a line; ties go to the line that began first.
     """
+    key = regions.schema["id"].dataType.simpleString()
+    centre = ((F.col("y1") + F.col("y2")) / 2).alias("c")
+    height = F.greatest(F.lit(1), F.col("y2") - F.col("y1")).cast("int").alias("h")
+    each = F.struct(centre, F.col("x1").cast("int").alias("x1"), "id", F.col("y1").cast("int").alias("y1"), F.col("y2").cast("int").alias("y2"), height)
+    kind = f"struct<c:double,x1:int,id:{key},y1:int,y2:int,h:int,members:array<struct<x1:int,id:{key}>>>"
+    none = F.array().cast(f"array<{kind}>")
+
+    def member(r: Column) -> Column:
+        return F.struct(r["x1"].alias("x1"), r["id"].alias("id"))
+
+    def headed(r: Column, members: Column) -> Column:
+        return F.struct(*[r[n].alias(n) for n in ("c", "x1", "id", "y1", "y2", "h")], members.alias("members"))
+
+    def joined(lines: Column, r: Column) -> Column:
+        def near(line: Column, i: Column) -> Column:
+            shared = F.greatest(F.lit(0), F.least(line["y2"], r["y2"]) - F.greatest(line["y1"], r["y1"]))
+            away = F.abs(line["c"] - r["c"])
+            return F.when((away <= tolerance) | (shared * 2 >= F.least(line["h"], r["h"])), F.struct(away.alias("away"), i.alias("i")))
+
+        def put(best: Column) -> Column:
+            def line_with(line: Column, i: Column) -> Column:
+                members = F.concat(line["members"], F.array(member(r)))
+                own = F.when(member(r) < F.struct(line["x1"].alias("x1"), line["id"].alias("id")), headed(r, members)).otherwise(headed(line, members))
+                return F.when(i == best["i"], own).otherwise(line)
+
+            begun = F.concat(lines, F.array(headed(r, F.array(member(r)))))
+            return F.when(best.isNull(), begun).otherwise(F.transform(lines, line_with))
 
-    def __init__(self, page: list[dict], tolerance: int):
-        self.top, self.bottom = [r["y1"] for r in page], [r["y2"] for r in page]
-        self.centre = [(a + b) / 2 for a, b in zip(self.top, self.bottom, strict=True)]
-        self.left = [(r["x1"], r["id"]) for r in page]
-        self.tolerance, self.height = tolerance, [max(1, b - a) for a, b in zip(self.top, self.bottom, strict=True)]
-        self.heads: list[tuple[float, int, int]] = []  # (centre, line, region)
-        self.members: list[list[int]] = []
-
-    def overlap(self, i: int, j: int) -> float:
-        shared = min(self.bottom[i], self.bottom[j]) - max(self.top[i], self.top[j])
-        return max(0, shared) / min(self.height[i], self.height[j])
-
-    def put(self, i: int, tallest: int) -> None:
-        reach = max(self.tolerance, (tallest + self.height[i]) / 2)
-        begin = bisect_left(self.heads, (self.centre[i] - reach, -1, -1))
-        within = ((abs(c - self.centre[i]), line, j) for c, line, j in self.heads[begin:])
-        _, line, head = min((w for w in within if w[0] <= self.tolerance or self.overlap(i, w[2]) >= 0.5), default=(0, None, None))
-        if line is None:
-            line, head = len(self.members), i
-            self.members.append([])
-            insort(self.heads, (self.centre[i], line, i))
-        elif self.left[i] < self.left[head]:
-            del self.heads[bisect_left(self.heads, (self.centre[head], line, head))]
-            insort(self.heads, (self.centre[i], line, i))
-        self.members[line].append(i)
-
-    def solved(self) -> list[list[int]]:
-        """Regions by line, lines from top to bottom, regions from left to right; regions come in order of their centres."""
-        tallest = max(self.height, default=1)
-        for i in sorted(range(len(self.left)), key=lambda i: (self.centre[i], self.left[i])):
-            self.put(i, tallest)
-        lines = [sorted(x, key=self.left.__getitem__) for x in self.members]
-        return sorted(lines, key=lambda x: (self.centre[x[0]], self.left[x[0]]))
+        return _bound(F.array_min(F.transform(lines, near)), put)
+
+    pages = regions.groupBy(*PAGE).agg(F.array_sort(F.collect_list(each)).alias("regions"))
+    folded = F.aggregate("regions", none, joined)
+    pages = pages.select(*PAGE, F.array_sort(folded).alias("lines"))  # by centre and left edge of the head
+    return pages.select(*PAGE, F.transform("lines", lambda line: F.struct(F.array_sort(line["members"]).alias("members"))).alias("lines"))
 
 
 def lines(regions: DataFrame, *, tolerance: int = 12) -> DataFrame:
     """``doc_id, page, id, line, place``: regions in visual lines (both from 0), each joined to the nearest line whose leftmost region
     is within ``tolerance`` of its centre or overlaps it by half."""
-
-    def solve(page: list[dict]) -> list[tuple]:
-        return [(page[r]["id"], i, j) for i, line in enumerate(_Lines(page, tolerance).solved()) for j, r in enumerate(line)]
-
-    return _each_page(regions, solve, "id ID, line int, place int")
+    placed = page_lines(regions, tolerance=tolerance).select(*PAGE, F.posexplode("lines").alias("line", "l"))
+    placed = placed.select(*PAGE, "line", F.posexplode("l.members").alias("place", "m"))
+    return placed.select(*PAGE, F.col("m.id").alias("id"), "line", "place")
 
 
 def reading_order(regions: DataFrame, *, tolerance: int = 12) -> DataFrame:
@@ -159,31 +122,22 @@ def line_texts(regions: DataFrame, placed: DataFrame) -> DataFrame:
     return both.groupBy(*PAGE, "line").agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"))
 
 
-def _anchors(edges: list[list[int]], width: int) -> tuple[list[int], list[int]]:
-    """Left edges, line by line, that are more than ``width`` from all that were taken before, ascending; and in how many lines
-    some edge is within ``width`` of each."""
-    taken: list[int] = []
-    for x in chain.from_iterable(edges):
-        at = bisect_left(taken, x - width)
-        if at == len(taken) or taken[at] > x + width:
-            taken.insert(at, x)
-    support = [0] * len(taken)
-    for line in edges:
-        near = {k for x in line for k in range(bisect_left(taken, x - width), bisect_right(taken, x + width))}
-        for k in near:
-            support[k] += 1
-    return taken, support
-
-
 def table_anchors(regions: DataFrame, *, tolerance: int = 12, least_rows: int = 2, width: int = 12) -> DataFrame:
-    """``doc_id, page, column_index, x, support_rows``: left edges that ``least_rows`` lines share."""
-
-    def solve(page: list[dict]) -> list[tuple]:
-        made = [[page[r]["x1"] for r in line] for line in _Lines(page, tolerance).solved()]
-        kept = [(x, n) for x, n in zip(*_anchors(made, width), strict=True) if n >= least_rows <= len(made)]
-        return [(i, x, n) for i, (x, n) in enumerate(kept)]
+    """``doc_id, page, column_index, x, support_rows``: left edges that ``least_rows`` lines share.
 
-    return _each_page(regions, solve, "column_index int, x int, support_rows int")
+    Edges are taken line by line: one that is more than ``width`` from all that were taken before is an anchor; the lines
+    with an edge within ``width`` of an anchor support it.
+    """
+    pages = page_lines(regions, tolerance=tolerance).select(*PAGE, F.transform("lines", lambda line: F.transform(line["members"], lambda x: x["x1"])).alias("edges"))
+    near = lambda x, a: F.abs(x - a) <= width
+    none = F.array().cast("array<int>")
+    taken = F.aggregate(F.flatten("edges"), none, lambda t, x: F.when(F.exists(t, lambda a: near(x, a)), t).otherwise(F.concat(t, F.array(x))))
+    pages = pages.select(*PAGE, "edges", F.array_sort(taken).alias("taken"))
+    support = lambda a: F.size(F.filter("edges", lambda line: F.exists(line, lambda x: near(x, a))))
+    counted = F.transform("taken", lambda a: F.struct(a.alias("x"), support(a).alias("support_rows")))
+    kept = F.filter(counted, lambda a: (a["support_rows"] >= least_rows) & (F.size("edges") >= least_rows))
+    out = pages.select(*PAGE, F.posexplode(kept).alias("column_index", "a"))
+    return out.select(*PAGE, "column_index", "a.x", "a.support_rows")
 
 
 def table_evidence(placed: DataFrame, anchors: DataFrame, *, least_rows: int = 2) -> DataFrame:

@@ -163,9 +163,19 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def shared_line_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of which two or three stand in a line, of different heights, at slightly different places, some right of a gap."""
+    r = regions(spark, sf_dir)
+    y = (F.col("id") - F.col("id") % 3) * 14 + F.col("y1") % 13
+    return r.withColumns({"y1": y.cast("int"), "y2": (y + 8 + F.col("x1") % 17).cast("int"), "x1": (F.col("x1") + F.col("id") % 3 * 40).cast("int"), "x2": (F.col("x2") + F.col("id") % 3 * 40).cast("int")})
+
+
 REGIONS_SQL = """r AS (SELECT l_orderkey AS doc_id, 1 AS page, l_linenumber AS id,
   CAST((CASE WHEN l_linenumber % 2 = 1 THEN 10 ELSE 250 END) + l_partkey % 20 AS INT) AS x1, CAST(l_linenumber * 25 + l_suppkey % 9 AS INT) AS y1,
   CAST((CASE WHEN l_linenumber % 2 = 1 THEN 10 ELSE 250 END) + l_partkey % 20 + 60 + l_partkey % 50 AS INT) AS x2,
   CAST(l_linenumber * 25 + l_suppkey % 9 + 20 AS INT) AS y2, 'w' || l_partkey AS text,
   CASE WHEN l_linenumber % 5 <> 0 THEN round(1 - l_discount * 5, 2) END AS confidence
   FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_discount) AS l_discount FROM lineitem GROUP BY ALL))"""
+
+SHARED_REGIONS_SQL = REGIONS_SQL.replace("r AS", "q AS", 1) + """, r AS (SELECT doc_id, page, id, CAST(x1 + id % 3 * 40 AS INT) AS x1, CAST((id - id % 3) * 14 + y1 % 13 AS INT) AS y1,
+  CAST(x2 + id % 3 * 40 AS INT) AS x2, CAST((id - id % 3) * 14 + y1 % 13 + 8 + x1 % 17 AS INT) AS y2, text, confidence FROM q)"""

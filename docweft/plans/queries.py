@@ -607,30 +607,84 @@ def release_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- pages and quality -------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {m.REGIONS_SQL}, o AS (SELECT *, max(x2) OVER (PARTITION BY doc_id ORDER BY x1, x2, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM r),
+def _columns_sql() -> str:
+    """Columns of the regions ``r``."""
+    return """WITH o AS (SELECT *, max(x2) OVER (PARTITION BY doc_id ORDER BY x1, x2, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM r),
 s AS (SELECT *, sum(CASE WHEN x1 - far >= 24 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY x1, x2, id ROWS UNBOUNDED PRECEDING) AS isl FROM o),
 z AS (SELECT *, count(*) OVER (PARTITION BY doc_id, isl) AS sz, count(*) OVER (PARTITION BY doc_id) AS al FROM s),
 k AS (SELECT doc_id, isl, row_number() OVER (PARTITION BY doc_id ORDER BY isl) - 1 AS rk, count(*) OVER (PARTITION BY doc_id) AS n FROM (SELECT DISTINCT doc_id, isl FROM z WHERE sz >= 2))
 SELECT z.doc_id, z.page, z.id, CAST(CASE WHEN coalesce(n2, 0) >= 2 AND al >= 4 THEN coalesce(rk, 0) ELSE 0 END AS INT) AS "column", CAST(CASE WHEN coalesce(n2, 0) >= 2 AND al >= 4 THEN n2 ELSE 1 END AS INT) AS column_count
-FROM z LEFT JOIN k ON k.doc_id = z.doc_id AND k.isl = z.isl LEFT JOIN (SELECT doc_id, max(n) AS n2 FROM k GROUP BY 1) q ON q.doc_id = z.doc_id""")
+FROM z LEFT JOIN k ON k.doc_id = z.doc_id AND k.isl = z.isl LEFT JOIN (SELECT doc_id, max(n) AS n2 FROM k GROUP BY 1) q ON q.doc_id = z.doc_id"""
+
+
+@query(f"WITH {m.REGIONS_SQL}, co AS ({_columns_sql()}) SELECT * FROM co")
 def page_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W3."""
     return layout.columns(m.regions(spark, sf_dir)).select("doc_id", "page", "id", "column", "column_count")
 
 
-@query()
+#: Lines of a page by recursion over its regions: each joins the nearest line whose head is near or overlaps it by half.
+_LINES_SQL = """n AS (SELECT *, (y1 + y2) / 2.0 AS c, greatest(1, y2 - y1) AS h, row_number() OVER (PARTITION BY doc_id, page ORDER BY (y1 + y2) / 2.0, x1, id) AS n FROM r),
+f AS (SELECT DISTINCT doc_id, page, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(c DOUBLE, x1 INT, id BIGINT, y1 INT, y2 INT, h INT, m STRUCT(x1 INT, id BIGINT)[])[]) AS ls FROM n
+UNION ALL SELECT doc_id, page, n, CASE WHEN best IS NULL THEN list_append(ls, {'c': c, 'x1': x1, 'id': id, 'y1': y1, 'y2': y2, 'h': h, 'm': [{'x1': x1, 'id': id}]})
+  ELSE list_transform(ls, lambda l, i: CASE WHEN i <> best THEN l
+    WHEN x1 < l.x1 OR (x1 = l.x1 AND id < l.id) THEN {'c': c, 'x1': x1, 'id': id, 'y1': y1, 'y2': y2, 'h': h, 'm': list_append(l.m, {'x1': x1, 'id': id})}
+    ELSE {'c': l.c, 'x1': l.x1, 'id': l.id, 'y1': l.y1, 'y2': l.y2, 'h': l.h, 'm': list_append(l.m, {'x1': x1, 'id': id})} END) END
+FROM (SELECT o.*, f.ls, (list_sort(list_filter(list_transform(f.ls, lambda l, i: {'a': abs(l.c - o.c), 'i': i,
+    'ok': abs(l.c - o.c) <= 12 OR 2 * greatest(0, least(l.y2, o.y2) - greatest(l.y1, o.y1)) >= least(l.h, o.h)}), lambda z: z.ok))[1]).i AS best
+  FROM f JOIN n o ON o.doc_id = f.doc_id AND o.page = f.page AND o.n = f.n + 1)),
+g AS (SELECT doc_id, page, list_transform(list_sort(ls), lambda l: list_sort(l.m)) AS ls FROM f QUALIFY n = max(n) OVER (PARTITION BY doc_id, page)),
+pl AS (SELECT doc_id, page, line, unnest(l).id AS id, unnest(range(0, len(l))) AS place FROM (SELECT doc_id, page, unnest(ls) AS l, unnest(range(0, len(ls))) AS line FROM g))"""
+
+
+def _page_lines_sql(regions: str) -> str:
+    return f"""WITH RECURSIVE {regions}, {_LINES_SQL}, co AS ({_columns_sql()}),
+j AS (SELECT co.*, pl.line, pl.place, r.x1, r.y1, max(pl.line) OVER (PARTITION BY co.doc_id, co.page) = 0 AS one FROM co JOIN pl USING (doc_id, page, id) JOIN r USING (doc_id, page, id)),
+k AS (SELECT *, column_count >= 2 AND NOT one AS by_column FROM j)
+SELECT doc_id, page, id, CAST(line AS INT) AS line, "column", CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY CASE WHEN by_column THEN "column" ELSE 0 END,
+  CASE WHEN by_column OR one THEN y1 ELSE line END, CASE WHEN by_column OR one THEN x1 ELSE place END, id) - 1 AS INT) AS position FROM k"""
+
+
+def _page_tables_sql(regions: str) -> str:
+    return f"""WITH RECURSIVE {regions}, {_LINES_SQL}, e AS (SELECT doc_id, page, list_transform(ls, lambda l: list_transform(l, lambda z: z.x1)) AS ed FROM g),
+t AS (SELECT *, list_reduce(list_transform(flatten(ed), lambda x: [x]), lambda a, x: CASE WHEN len(list_filter(a, lambda y: abs(y - x[1]) <= 12)) > 0 THEN a ELSE list_concat(a, x) END) AS ta FROM e),
+a AS (SELECT doc_id, page, len(list_filter(ta, lambda x: len(list_filter(ed, lambda l: len(list_filter(l, lambda y: abs(y - x) <= 12)) > 0)) >= 2)) AS n, len(ed) AS line_count, len(list_filter(ed, lambda l: len(l) >= 2)) AS candidate_rows FROM t)
+SELECT doc_id, page, line_count, candidate_rows, CASE WHEN line_count >= 2 THEN n ELSE 0 END AS repeated_columns, CASE WHEN line_count >= 2 THEN n ELSE 0 END >= 2 AND line_count >= 2 AS table_candidate FROM a"""
+
+
+@query(_page_lines_sql(m.REGIONS_SQL))
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines and reading order; greedy, so tests hold it against the fixtures."""
+    """Lines and reading order."""
     return layout.reading_order(m.regions(spark, sf_dir)).select("doc_id", "page", "id", "line", "column", "position")
 
 
-@query()
+@query(_page_lines_sql(m.SHARED_REGIONS_SQL))
+def shared_page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W4, W5 where regions share lines."""
+    return layout.reading_order(m.shared_line_regions(spark, sf_dir)).select("doc_id", "page", "id", "line", "column", "position")
+
+
+@query(_page_tables_sql(m.REGIONS_SQL))
 def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W7, W8."""
     r = m.regions(spark, sf_dir)
     return layout.table_evidence(layout.lines(r), layout.table_anchors(r))
 
 
+@query(_page_tables_sql(m.SHARED_REGIONS_SQL))
+def shared_page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W7, W8 where regions share lines."""
+    r = m.shared_line_regions(spark, sf_dir)
+    return layout.table_evidence(layout.lines(r), layout.table_anchors(r))
+
+
+@query(f"""WITH RECURSIVE {m.SHARED_REGIONS_SQL}, {_LINES_SQL} SELECT doc_id, page, CAST(line AS INT) AS line, string_agg(r.text, ' ' ORDER BY place) AS text FROM pl JOIN r USING (doc_id, page, id) WHERE r.text <> '' GROUP BY ALL""")
+def shared_line_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W6 where regions share lines."""
+    r = m.shared_line_regions(spark, sf_dir)
+    return layout.line_texts(r, layout.lines(r))
+
+
 @query(f"""WITH {m.REGIONS_SQL} SELECT doc_id, page, count(*) AS region_count, count(confidence) AS scored_count, round(avg(confidence), 6) AS mean_confidence, min(confidence) AS least_confidence,
   coalesce(round(avg(confidence), 6) < 0.7, false) AS low_confidence, false AS approval FROM r GROUP BY 1, 2""")
 def confidence_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -268,16 +268,16 @@ def test_lines_match_a_plain_search(spark):
     """Each region, from top to bottom, joins the nearest line whose leftmost region is near or overlaps it by half."""
     import random
 
-    from docweft.operators.layout import _anchors, _Lines
-
     rng = random.Random(4)
-    for _ in range(150):
+    mid = lambda r: (r["y1"] + r["y2"]) / 2
+    tall = lambda r: max(1, r["y2"] - r["y1"])
+    rows, by_line, by_anchor = [], {}, {}
+    for n in range(150):
         page = []
-        for i in range(rng.randrange(0, 40)):
+        for i in range(rng.randrange(1, 40)):
             x, y = rng.randrange(0, 300), rng.randrange(0, 150)
             page.append({"id": f"r{i:02}", "x1": x, "y1": y, "x2": x + 30, "y2": y + rng.choice([0, 5, 20, 60])})
-        mid = lambda r: (r["y1"] + r["y2"]) / 2
-        tall = lambda r: max(1, r["y2"] - r["y1"])
+        rows += [(n, 1 + n % 2, *r.values()) for r in page]
         want: list[list[dict]] = []
         for r in sorted(page, key=lambda r: (mid(r), r["x1"], r["id"])):
             heads = [min(line, key=lambda m: (m["x1"], m["id"])) for line in want]
@@ -286,11 +286,15 @@ def test_lines_match_a_plain_search(spark):
             want[min(fits)[1]].append(r) if fits else want.append([r])
         want = [sorted(line, key=lambda r: (r["x1"], r["id"])) for line in want]
         want.sort(key=lambda line: (mid(line[0]), line[0]["x1"], line[0]["id"]))
-        got = [[page[i]["id"] for i in line] for line in _Lines(page, 12).solved()]
-        assert got == [[r["id"] for r in line] for line in want]
+        by_line |= {(n, r["id"]): (i, j) for i, line in enumerate(want) for j, r in enumerate(line)}
         edges = [[r["x1"] for r in line] for line in want]
-        taken, support = _anchors(edges, 12)
         plain: list[int] = []
         for x in (x for line in edges for x in line):
             plain += [x] if min((abs(x - a) for a in plain), default=99) > 12 else []
-        assert taken == sorted(plain) and support == [sum(min(abs(x - a) for x in line) <= 12 for line in edges) for a in taken]
+        support = [(a, sum(min(abs(x - a) for x in line) <= 12 for line in edges)) for a in sorted(plain)]
+        by_anchor |= {(n, i): a for i, a in enumerate(a for a in support if a[1] >= 2)} if len(edges) >= 2 else {}
+    regions = spark.createDataFrame(rows, "doc_id int, page int, id string, x1 int, y1 int, x2 int, y2 int")
+    found = layout.lines(regions)
+    assert {(r.doc_id, r.id): (r.line, r.place) for r in found.collect()} == by_line
+    assert {(r.doc_id, r.column_index): (r.x, r.support_rows) for r in layout.table_anchors(regions).collect()} == by_anchor
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString() and layout.lines(regions.limit(0)).count() == 0

@@ -10,7 +10,7 @@ from verify_queries import canonical
 
 AT = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(AT), reason="the given tables are elsewhere")
-PYTHON = {"page_lines", "page_tables", "text_error_rates", "word_error_corpus", "line_texts", "layout_summaries", "recognised_texts"}
+PYTHON = {"text_error_rates", "word_error_corpus", "recognised_texts"}
 
 
 @pytest.fixture(scope="module")
