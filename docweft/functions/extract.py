@@ -74,12 +74,12 @@ def script_date(c: Column) -> Column:
 
 
 def normalised_date(c: Column) -> Column:
-    """d/m/y (or with dots or dashes, digits of any script; years below 100 are 20yy) as a date; null for anything else and
+    """d/m/y (or with dots or dashes, digits of any script; two-digit years are 20yy) as a date; null for anything else and
     impossible days."""
-    pattern = r"^(\d{1,2})[./-](\d{1,2})[./-](\d{2,4})$"
+    pattern = r"^(\d{1,2})[./-](\d{1,2})[./-](\d{2}|\d{4})$"
     c = ascii_digits(strip(c))
-    year = F.regexp_extract(c, pattern, 3).try_cast("int")
-    year = F.lpad(F.when(year < 100, year + 2000).otherwise(year).cast("string"), 4, "0")
+    year = F.regexp_extract(c, pattern, 3)
+    year = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
     whole = F.concat_ws("/", F.regexp_extract(c, pattern, 1), F.regexp_extract(c, pattern, 2), year)
     return F.when(c.rlike(pattern), F.try_to_date(whole, "d/M/yyyy"))
 

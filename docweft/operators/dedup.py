@@ -7,16 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docweft.operators.joins import stored, with_totals
+
 
 def canonical_by_checksum(docs: DataFrame, *, key: str = "checksum", id_col: str = "id", at: str = "received_at") -> DataFrame:
     """Adds ``canonical_id`` (the first arrival of the same checksum, ties by id) and ``duplicate``.
 
-    One aggregation by checksum and one join with its result, so that a checksum of any frequency is pre-aggregated and
-    adaptive execution can split its join. A row without checksum stands for itself.
+    One aggregation by checksum, of which only checksums that repeat are joined back: broadcast if they are few, else the most
+    frequent ones are (``with_totals``), so that a checksum of any frequency is spread. Columns are carried through that join: leave texts out.
+    A row without checksum stands for itself.
     """
     first = F.min(F.struct(F.col(at), F.col(id_col)))[id_col]
-    groups = docs.where(F.col(key).isNotNull()).groupBy(key).agg(first.alias("canonical_id"))
-    out = docs.join(groups, key, "left").withColumn("canonical_id", F.coalesce("canonical_id", id_col))
+    groups = docs.where(F.col(key).isNotNull()).groupBy(key).agg(first.alias("canonical_id"), F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
+    out = with_totals(docs, stored(groups, "checksum-groups"), key, "_rows").withColumn("canonical_id", F.coalesce("canonical_id", id_col))
+    out = out.select(*docs.columns, "canonical_id")
     return out.withColumn("duplicate", ~F.col("canonical_id").eqNullSafe(F.col(id_col)))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docweft.operators.joins import checked_broadcast, stored
+
 
 def recipients(configured: DataFrame, intake: DataFrame) -> DataFrame:
     """Distinct chats of both tables (``chat_id``), blanks dropped."""
@@ -32,12 +34,12 @@ def worklist(published: DataFrame, chats: DataFrame, audits: DataFrame, operatio
 
     Every document goes to every recipient: that is the operator's result, not a step of a join. Recipients are dealt by hash
     into arrays of about ``block``; each document meets each array by its number and then its elements, so any number of
-    recipients works and none passes the driver. Audits are reduced to distinct pairs before the anti join.
+    recipients works and none passes the driver; the arrays are broadcast if their bytes are few. Audits are reduced to distinct pairs before the anti join.
     """
     parts = max(1, -(-chats.count() // block))
     lists = chats.groupBy(F.pmod(F.xxhash64("chat_id"), F.lit(parts)).alias("part")).agg(F.collect_list("chat_id").alias("chats"))
     every = published.select(F.col("id").alias("document_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
-    pairs = every.join(lists, "part").select("document_id", F.explode("chats").alias("chat_id"))
+    pairs = every.join(checked_broadcast(stored(lists, "recipients")), "part").select("document_id", F.explode("chats").alias("chat_id"))
     return pairs.join(delivered_pairs(audits, operation), ["document_id", "chat_id"], "left_anti")
 
 

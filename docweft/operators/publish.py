@@ -10,11 +10,18 @@ from pyspark.sql import functions as F
 from docweft.functions.text import folded, strip
 
 
+def text_chars(text: Column) -> Column:
+    """Characters of a text without white space at its ends; 0 for null."""
+    return F.length(strip(F.coalesce(text, F.lit(""))))
+
+
 def gate(docs: DataFrame, *, least_text: int = 80) -> DataFrame:
     """Adds ``gate_ok`` and ``gate_reason`` (failed checks in a fixed order, comma-joined, or ``ok``).
 
     The checks' names are output values. Three-valued flags: a null ``sensitive`` or ``duplicate`` passes, and ``useful`` fails only where it is false.
+    The text's length is the column ``text_chars``, so that joins before need not carry texts, or, without it, that of ``full_text``.
     """
+    chars = F.col("text_chars") if "text_chars" in docs.columns else text_chars(F.col("full_text"))
     checks = [
         (~F.col("processing_status").eqNullSafe("Completed"), "processing_not_completed"),
         (~F.coalesce(F.col("publication_status") == "Unpublished", F.lit(True)), "publication_not_pending"),
@@ -22,7 +29,7 @@ def gate(docs: DataFrame, *, least_text: int = 80) -> DataFrame:
         (F.coalesce("sensitive", F.lit(False)), "sensitive_document"),
         (F.coalesce("duplicate", F.lit(False)), "duplicate_document"),
         (F.col("useful").eqNullSafe(False), "document_marked_not_useful"),
-        (F.length(strip(F.coalesce("full_text", F.lit("")))) < least_text, "insufficient_ocr_text"),
+        (chars < least_text, "insufficient_ocr_text"),
         (strip(F.coalesce("extraction_method", F.lit(""))) == "", "missing_extraction_provenance"),
     ]
     failed = F.array_compact(F.array(*[F.when(test, name) for test, name in checks]))

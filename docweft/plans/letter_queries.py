@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docweft.functions import extract as ex
 from docweft.functions import text as tx
+from docweft.functions import variants
 from docweft.operators import lifecycle, publish, search_index, vocab
 from docweft.plans import model as m
 from docweft.plans.queries import _FOLDED, TS_NOW, now, query
@@ -199,3 +200,24 @@ def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = m.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "text")
     index = search_index.IndexedSearch.build(d, f"{m.shared_dir(spark)}/docweft/index-{m.fresh()}", text=publish.searchable([F.col("text")]), keep=["lang"])
     return index.search(None, "AUX tionre a éont, aux", filters={"lang": "FR "}).select("id", "lang", "score")
+
+
+@query("""SELECT event_id AS id, CASE WHEN event_id % 10 = 0 THEN 'malformed' WHEN event_id % 10 = 1 THEN 'missing' END AS error,
+  CASE WHEN event_id % 10 > 1 THEN coalesce(CASE WHEN event_id % 3 = 0 THEN event_type END, json_extract_string(props, '$.k')) END AS value,
+  CASE WHEN event_id % 10 > 1 THEN CAST(json_extract_string(props, '$.k') AS INT) END AS number,
+  CASE WHEN event_id % 10 > 1 THEN CASE WHEN event_id % 3 = 0 THEN event_type ELSE '' END || ':new:' || json_extract_string(props, '$.k') ELSE ':new:' END AS merged,
+  CASE WHEN event_id % 10 < 2 THEN 'not_json' ELSE 'required:name;' || CASE WHEN event_id % 3 = 0 THEN 'additional:a;' ELSE '' END || 'additional:z' END AS violations FROM events""")
+def variant_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F43, F44, P13 over variants of one parse; malformed and missing texts are told apart."""
+    e, n = m.table(spark, sf_dir, "events"), F.col("event_id") % 10
+    inner = F.get_json_object("props", "$.k")
+    text = F.concat(F.lit("{"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('"a":{"b":"'), "event_type", F.lit('"},'))).otherwise(""), F.lit('"k":'), inner, F.lit(',"z":{"q":[1]}}'))
+    rows = e.select("event_id", F.when(n == 0, F.lit("{broken")).when(n > 1, text).alias("j"), F.lit('{"s":"new"}').alias("c"))
+    rows = variants.contract_violations(rows, "j", {"k": ("integer?", False, None), "name": ("string", True, None)})
+    rows = variants.parsed(variants.parsed(rows, "j", "v", "error"), "c", "cv", "ce")
+    merged = rows.withColumn("m", variants.merged_object(F.col("v"), F.col("cv"), ["z"]))
+    part = lambda *p: F.coalesce(variants.first_value(F.col("m"), p), F.lit(""))
+    return merged.select(
+        F.col("event_id").alias("id"), "error", variants.first_value(F.col("v"), ["$.a.b", "$.k"]).alias("value"), variants.first_value(F.col("v"), ["$.k"], "int").alias("number"),
+        F.concat_ws(":", part("$.a.b"), part("$.s"), part("$.k")).alias("merged"), F.array_join("violations", ";").alias("violations"),
+    )

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweft.operators.publish import text_chars
 from docweft.sources.io import shared_dir, spread  # noqa: F401
 
 
@@ -34,19 +35,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with labels: an unlabelled row has unknown flags."""
     labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("useful"), (F.col("toxic") == 1).alias("sensitive"))
-    docs = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    docs = table(spark, sf_dir, "documents")  # what needs the text is worked out before the join, which need not carry it then
+    docs = docs.withColumns({"checksum": F.sha2("text", 256), "text_chars": text_chars(F.col("text"))}).join(labels, "doc_id", "left")
     return docs.select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("source_app"),
         "lang",
         F.col("text").alias("full_text"),
-        F.sha2("text", 256).alias("checksum"),
+        "checksum",
+        "text_chars",
         "useful",
         "sensitive",
         F.when(F.col("doc_id") % 11 == 0, "Processing").otherwise("Completed").alias("processing_status"),
         F.when(F.col("doc_id") % 13 == 0, "Published").when(F.col("doc_id") % 17 == 0, F.lit(None)).otherwise("Unpublished").alias("publication_status"),
         F.when(F.col("doc_id") % 19 == 0, "").otherwise(F.concat(F.lit("b"), "doc_id")).alias("backup_id"),
-        F.lit("embedded-text").alias("extraction_method"),
+        F.when(F.col("doc_id") % 23 == 0, " ").otherwise("embedded-text").alias("extraction_method"),
         F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id % 40000 as int), 0)").alias("received_at"),
     )
 
@@ -55,7 +58,7 @@ DOCUMENTS_SQL = """d AS (SELECT x.doc_id AS id, x.source AS source_app, x.lang,
   quality = 1 AS useful, toxic = 1 AS sensitive,
   CASE WHEN x.doc_id % 11 = 0 THEN 'Processing' ELSE 'Completed' END AS processing_status,
   CASE WHEN x.doc_id % 13 = 0 THEN 'Published' WHEN x.doc_id % 17 = 0 THEN NULL ELSE 'Unpublished' END AS publication_status,
-  CASE WHEN x.doc_id % 19 = 0 THEN '' ELSE 'b' || x.doc_id END AS backup_id, 'embedded-text' AS extraction_method,
+  CASE WHEN x.doc_id % 19 = 0 THEN '' ELSE 'b' || x.doc_id END AS backup_id, CASE WHEN x.doc_id % 23 = 0 THEN ' ' ELSE 'embedded-text' END AS extraction_method,
   TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(x.doc_id % 40000 AS INT)) AS received_at
   FROM documents x LEFT JOIN labels USING (doc_id))"""
 

@@ -43,11 +43,12 @@ _REASONS = """array_to_string(list_filter([
   CASE WHEN publication_status IS NOT NULL AND publication_status <> 'Unpublished' THEN 'publication_not_pending' END,
   CASE WHEN coalesce(backup_id, '') = '' THEN 'drive_backup_missing' END, CASE WHEN coalesce(sensitive, false) THEN 'sensitive_document' END,
   CASE WHEN duplicate THEN 'duplicate_document' END, CASE WHEN useful = false THEN 'document_marked_not_useful' END,
-  CASE WHEN length(trim(full_text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))) < 80 THEN 'insufficient_ocr_text' END], lambda x: x IS NOT NULL), ',')"""
+  CASE WHEN length(trim(full_text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))) < 80 THEN 'insufficient_ocr_text' END,
+  CASE WHEN trim(extraction_method) = '' THEN 'missing_extraction_provenance' END], lambda x: x IS NOT NULL), ',')"""
 
 
 def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return publish.gate(dedup.canonical_by_checksum(m.documents(spark, sf_dir)))
+    return publish.gate(dedup.canonical_by_checksum(m.documents(spark, sf_dir).drop("full_text")))
 
 
 @query(f"""WITH {m.DOCUMENTS_SQL}, {_CANON}, q AS (SELECT id, {_REASONS} AS r FROM g)
