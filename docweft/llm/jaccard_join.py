@@ -19,7 +19,9 @@ The steps, each a Spark job over written tables:
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -89,12 +91,6 @@ def list_array(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64)))
 
 
-def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The numbers from each start on, as many as its size, one range after another."""
-    ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
-
-
 class _Lists:
     """Inverted lists of one task: for each token that two members or more have, their numbers in ascending order.
 
@@ -141,19 +137,38 @@ def divide(sizes: np.ndarray, t: int) -> int:
     return int(np.argmin(merged + probes))
 
 
-def merged_counts(members: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct members (of ``n`` in all) of ascending lists that stand one after another, and how many lists have each.
+def heap_merge(lists: list[list[int]], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The members that ``least`` or more of the ascending lists have, and how many lists have each.
 
-    A stable sort finds the ascending runs and merges them with galloping: elements x log(lists), as a heap of the lists' heads
-    costs, and only the lists' elements are looked at. Where there are more elements than members, they are counted instead.
+    The heads of the lists are a heap. Where the smallest head is in too few lists, ``least`` - 1 lists are taken off the heap and
+    skip by binary search to what is then its smallest head: no member before it can be in enough lists.
     """
-    if len(members) > n:
-        counts = np.bincount(members, minlength=n)
-        found = np.flatnonzero(counts)
-        return found, counts[found]
-    members = np.sort(members, kind="stable")
-    new = np.flatnonzero(np.r_[True, members[1:] != members[:-1]]) if len(members) else np.empty(0, np.int64)
-    return members[new], np.diff(np.r_[new, len(members)])
+    n, at = len(lists), [0] * len(lists)
+    heads = [x[0] * n + i for i, x in enumerate(lists)]
+    heapify(heads)
+    found, have = [], []
+    while len(heads) >= least:
+        member = heads[0] // n
+        taken = []
+        while heads and heads[0] // n == member:
+            taken.append(heappop(heads) % n)
+        if len(taken) >= least:
+            found.append(member)
+            have.append(len(taken))
+            for i in taken:
+                at[i] += 1
+        else:
+            while heads and len(taken) < least - 1:
+                taken.append(heappop(heads) % n)
+            if not heads:
+                break
+            smallest = heads[0] // n
+            for i in taken:
+                at[i] = bisect_left(lists[i], smallest, at[i])
+        for i in taken:
+            if at[i] < len(lists[i]):
+                heappush(heads, lists[i][at[i]] * n + i)
+    return np.array(found, np.int64), np.array(have, np.int64)
 
 
 class Search:
@@ -175,7 +190,7 @@ class Search:
         """Members that link with q: of higher number (or, with ``n_first``, of the others), and those marked in ``lower``.
 
         A member that links with a set of n needs ``needed(n)`` of its tokens, T: q's long lists are set aside; the short
-        ones are merged, members with T - (number of long lists) or more stay, and each long list is probed for
+        ones are merged by a heap of their heads, members with T - (number of long lists) or more stay, and each long list is probed for
         them by binary search, dropping who cannot reach T any more. The work goes by the lengths of q's own lists.
         """
         lists, percent, n = self.lists, self.percent, self.n
@@ -190,8 +205,8 @@ class Search:
         order = np.argsort(begin - end, kind="stable")
         begin, sizes = begin[order], (end - begin)[order]
         n_long = divide(sizes, t)
-        found, have = merged_counts(lists.postings[ranges(begin[n_long:], sizes[n_long:])], len(n))
-        fits = (have >= t - n_long) & (100 * n[found] >= percent * n[q]) & (percent * n[found] <= 100 * n[q])
+        found, have = heap_merge([lists.postings[a:b].tolist() for a, b in zip(begin[n_long:], begin[n_long:] + sizes[n_long:], strict=True)], t - n_long)
+        fits = (100 * n[found] >= percent * n[q]) & (percent * n[found] <= 100 * n[q])
         if lower is not None:
             fits &= (found > q) | (lower[found] & (found != q))
         if self.roots is not None:

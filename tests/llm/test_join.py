@@ -205,3 +205,14 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: find(x) for x in root if any(x in e and e[0] != e[1] for e in edges)}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_heap_merge_counts_members():
+    rng = random.Random(12)
+    for _ in range(300):
+        lists = [sorted(rng.sample(range(40), rng.randrange(1, 30))) for _ in range(rng.randrange(1, 9))]
+        for least in (1, 2, len(lists)):
+            found, have = jj.heap_merge(lists, least)
+            want = {m: n for m in range(40) if (n := sum(m in x for x in lists)) >= least}
+            assert dict(zip(found.tolist(), have.tolist(), strict=True)) == want and found.tolist() == sorted(want)
+    assert jj.heap_merge([], 1)[0].size == 0
