@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import math
 import uuid
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,70 +29,111 @@ def words(text: str | None) -> list[bytes]:
 
 
 class WuManber:
-    """Search for word sequences of one length.
+    """Search for the windows of one length, as word numbers.
 
-    Blocks are the last ``b`` = min(2, length) words of a position. ``shift`` has how far the window may
-    move for each block that any pattern contains (any other block: length - b + 1); where it is 0, the
-    block's bucket has the patterns that end with it, by their first words; those are compared word by word.
+    ``text`` has the words of all items, ``starts`` where windows begin in it. Blocks are the last ``b`` = min(2, length) words of a
+    position. ``keys`` and ``shifts`` have, for each block that any window contains, how far the search may move (any other block:
+    length - b + 1); where it is 0, the windows that end with the block are those of its stretch of ``suffixes``, in order of
+    their first words (``prefixes``); these are compared word by word. All are sorted arrays; with the words' numbers they take about twelve
+    bytes for each byte of item text while they are built.
     """
 
-    def __init__(self, length: int, patterns: dict[tuple[bytes, ...], list[int]]):
-        self.length, self.b = length, min(2, length)
+    def __init__(self, length: int, text: np.ndarray, begins: np.ndarray, sizes: np.ndarray, base: int):
+        self.length, self.b, self.base = length, min(2, length), base
         self.most = length - self.b + 1
-        self.shift: dict[tuple[bytes, ...], int] = {}
-        self.bucket: dict[tuple[bytes, ...], dict[tuple[bytes, ...], list[tuple[tuple[bytes, ...], list[int]]]]] = {}
-        for p, items in patterns.items():
-            for end in range(self.b, length + 1):
-                block = p[end - self.b : end]
-                self.shift[block] = min(self.shift.get(block, self.most), length - end)
-            self.bucket.setdefault(p[-self.b :], {}).setdefault(p[: self.b], []).append((p, items))
-
-    def find(self, text: list[bytes], hit: bytearray, found: set[int]) -> None:
-        """Mark the words of all occurrences in ``hit`` and add the items to ``found``."""
-        shift, most, m, b = self.shift.get, self.most, self.length, self.b
-        end, n, ones = m, len(text), b"\x01" * m
+        self.text = array("i", text.tobytes())
+        # a block that ends at word e of its item stands at the end of a window from word length - 1 on, else that far before one
+        place = _ranges(sizes)
+        ends = np.repeat(begins, sizes) + place
+        blocks = ends[place >= self.b - 1]
+        shift = np.maximum(0, length - 1 - place[place >= self.b - 1]).astype(np.int8)
+        keys = self._keys(text, blocks - self.b + 1)
+        order = np.lexsort((shift, keys))
+        keys, shift = keys[order], shift[order]
+        new = np.r_[True, keys[1:] != keys[:-1]]
+        self.keys, self.shifts = array("q", keys[new].tobytes()), array("b", shift[new].tobytes())
+        starts = np.repeat(begins, sizes - length + 1) + _ranges(sizes - length + 1)
+        suffix, prefix = self._keys(text, starts + length - self.b), self._keys(text, starts)
+        order = np.lexsort((starts, prefix, suffix))
+        self.suffixes, self.prefixes = array("q", suffix[order].tobytes()), array("q", prefix[order].tobytes())
+        self.starts = array("q", starts[order].astype(np.int64).tobytes())
+
+    def _keys(self, text: np.ndarray, at: np.ndarray) -> np.ndarray:
+        first = text[at].astype(np.int64)
+        return first * self.base + text[at + 1] if self.b == 2 else first
+
+    def find(self, text: array, hit: bytearray, found: set[int]) -> None:
+        """Mark the words of all occurrences in ``hit`` and add where their windows start to ``found``."""
+        keys, shifts, most, m, b, base = self.keys, self.shifts, self.most, self.length, self.b, self.base
+        end, n, size, ones = m, len(text), len(keys), b"\x01" * m
         while end <= n:
-            block = tuple(text[end - b : end])
-            step = shift(block, most)
+            last = text[end - 1]
+            if last == UNKNOWN:  # no window has this word: the next one begins behind it
+                end += m
+                continue
+            key = text[end - 2] * base + last if b == 2 else last
+            i = bisect_left(keys, key)
+            step = shifts[i] if i < size and keys[i] == key else most
             if step:
                 end += step
                 continue
-            start = end - m
-            for p, items in self.bucket[block].get(tuple(text[start : start + b]), ()):
-                if tuple(text[start:end]) == p:
-                    hit[start:end] = ones
-                    found.update(items)
+            begin = end - m
+            first = text[begin] * base + text[begin + 1] if b == 2 else text[begin]
+            low = bisect_left(self.suffixes, key)
+            high = bisect_right(self.suffixes, key, low)
+            low = bisect_left(self.prefixes, first, low, high)
+            window = text[begin:end]
+            for k in range(low, bisect_right(self.prefixes, first, low, high)):
+                s = self.starts[k]
+                if self.text[s : s + m] == window:
+                    hit[begin:end] = ones
+                    found.add(s)
             end += 1
 
 
+#: The number of words that no item has.
+UNKNOWN = -1
+
+
+def _ranges(sizes: np.ndarray) -> np.ndarray:
+    """0 to size - 1 for each size, one after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+
+
 class Search:
-    """All windows of a set of items, one ``WuManber`` for each length that occurs."""
+    """All windows of a set of items, one ``WuManber`` for each length that occurs. Each distinct word has a number."""
 
     def __init__(self, items: Iterable[tuple[str | None, str | None]]):
-        by_length: dict[int, dict[tuple[bytes, ...], list[int]]] = {}
-        once: dict[bytes, bytes] = {}  # a word that occurs often is held once
+        self.number: dict[bytes, int] = {}
         self.names: list[str] = []
-        number: dict[str | None, int] = {}
-        for name, text in items:
-            w = [once.setdefault(x, x) for x in words(text)]
-            if not w:
+        named: dict[str | None, int] = {}
+        text, begins, owners = array("i"), [], []
+        for name, item in items:
+            if not (w := words(item)):
                 continue
-            if name not in number:
-                number[name] = len(self.names)
+            if name not in named:
+                named[name] = len(self.names)
                 self.names.append(name)
-            length = min(WINDOW, len(w))
-            for i in range(len(w) - length + 1):
-                owners = by_length.setdefault(length, {}).setdefault(tuple(w[i : i + length]), [])
-                if number[name] not in owners:
-                    owners.append(number[name])
-        self.tables = [WuManber(length, p) for length, p in sorted(by_length.items())]
+            begins.append(len(text))
+            owners.append(named[name])
+            text.extend(self.number.setdefault(x, len(self.number)) for x in w)
+        self.begins, self.owners = array("q", begins), array("q", owners)
+        whole = np.frombuffer(text, np.int32) if text else np.empty(0, np.int32)
+        at = np.array(begins, np.int64)
+        sizes = np.diff(np.r_[at, len(whole)])
+        lengths = np.minimum(sizes, WINDOW)
+        base = len(self.number) + 1
+        self.tables = [WuManber(int(n), whole, at[lengths == n], sizes[lengths == n], base) for n in np.unique(lengths)]
 
     def __call__(self, text: str | None) -> tuple[int, bytearray, list[str]]:
         w = words(text)
-        hit, found = bytearray(len(w)), set()
+        hit, found, number = bytearray(len(w)), set(), self.number
+        numbers = array("i", [number.get(x, UNKNOWN) for x in w])
         for t in self.tables:
-            t.find(w, hit, found)
-        return len(w), hit, sorted(self.names[i] for i in found)
+            t.find(numbers, hit, found)
+        owners = {self.owners[bisect_right(self.begins, s) - 1] for s in found}
+        return len(w), hit, sorted(self.names[i] for i in owners)
 
 
 RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -132,7 +175,7 @@ def find_contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
     carry: list[str] | None = None,
-    pattern_bytes: int = 1_500_000,
+    pattern_bytes: int = 32_000_000,
 ) -> DataFrame:
     """Carried columns, then ``n_words, n_hit, n_items, items_sha256, contaminated``; one row per input row.
 
@@ -143,7 +186,8 @@ def find_contamination(
     whole, however long; repeated rows are judged alike; an empty table gives no rows, an empty benchmark no hits; a carried
     column named like a result is left out.
 
-    The items are broadcast and each Python worker builds their tables once, about 120 bytes for each byte of item text.
+    The items are broadcast and each Python worker builds their tables once, sorted arrays that take
+    about twelve bytes for each byte of item text while they are built; one scan serves all benchmarks up to ``pattern_bytes``.
     If the items' texts exceed ``pattern_bytes``, they are dealt by hash into as many parts as needed, each part is searched by
     itself, and the hit words of the few rows that have any are united.
     """
