@@ -116,7 +116,8 @@ def line_drops(
     streamed once with fewer than ``min_docs`` rows of the current key in memory. Only a range's first and
     last key can reach into others: their counts (two rows a range) are summed by digest, and the few held-back
     rows of those keys join the sums. Text is not shuffled. With ``keep_first``, rows that repeat id and text are one
-    document. Other columns of ``docs`` are ignored; an empty table gives no rows.
+    document. Null ids are ids like others (their rows are told apart by text), texts are split whole, however long, null and empty texts
+    are one empty line. Other columns of ``docs`` are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("body"))
     entry = "h1: bigint, h2: bigint, places: array<int>"

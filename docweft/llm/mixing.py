@@ -109,7 +109,7 @@ def mix(
     The prefix of an epoch ends before the first row that would exceed the budget, so a leaf may stay
     short by less than one document. Rows without words are never chosen. Null domain, language or
     source is the node ``unknown``. Rows that repeat an id stand together in the order and are chosen
-    or left together. An empty table gives no rows. Whole shares are rounded down. A carried column
+    or left together; a text counts whole, however long. An empty table gives no rows. Whole shares are rounded down. A carried column
     named like a result is left out.
     """
     named = [

@@ -96,6 +96,9 @@ def pack(
     Documents are dealt by the hash of their id and text to as many shards as keep each near ``shard_bytes`` of text, so
     that a task holds a few shards' ids one after another and no source or id is hot; equal rows that alone exceed a shard are numbered
     and dealt by their number too. A shard's rows depend on its documents only: they are sorted by id, then text. Documents without tokens have no piece.
+
+    Null and empty texts have no tokens, null ids stay null in ``doc_ids``, rows that repeat an id or are equal throughout are packed
+    like any others, very long texts are cut like long ones. Other columns are ignored; an empty table gives no rows.
     """
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     shards = max(1, -(-int(total) // shard_bytes))

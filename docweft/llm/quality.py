@@ -103,14 +103,15 @@ def fit(
     *,
     label_col: str = "quality",
     per_label: int = 2500,
-    features: int = 5_000,
-    min_rows: int = 5,
+    features: int = 200_000,
+    min_rows: int = 2,
     c: float = 0.03,
     epochs: int = 30,
     seed: int = 1,
 ) -> Model:
     """Fit on a bounded sample: at most ``per_label`` labelled rows of each class (all of ``labels`` count for the
-    class balance), at most ``features`` n-grams found in ``min_rows`` of them or more.
+    class balance), all n-grams found in ``min_rows`` of them or more, ``features`` at most (one that a single row has tells nothing of
+    others).
 
     Spark counts in how many rows of each class every n-gram of the whole texts is, and ranks them by
     the size of their log-count ratio times the root of their rows (ties by the n-gram). The driver gets the chosen n-grams and,
