@@ -91,6 +91,12 @@ def list_array(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64)))
 
 
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, one range after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
 class _Lists:
     """Inverted lists of one task: for each token that two members or more have, their numbers in ascending order.
 
@@ -171,6 +177,19 @@ def heap_merge(lists: list[list[int]], least: int) -> tuple[np.ndarray, np.ndarr
     return np.array(found, np.int64), np.array(have, np.int64)
 
 
+def merged_counts(postings: np.ndarray, begin: np.ndarray, sizes: np.ndarray, n: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The members (of ``n`` in all) that ``least`` or more of the lists have, and how many lists have each.
+
+    Short lists are merged by a heap. Lists that together have more elements than there are members are not short: nearly every member is in
+    some of them, and an array with a place for each member counts them without comparing any.
+    """
+    if sizes.sum() <= n:
+        return heap_merge([postings[a : a + k].tolist() for a, k in zip(begin, sizes, strict=True)], least)
+    counts = np.bincount(postings[ranges(begin, sizes)], minlength=n)
+    found = np.flatnonzero(counts >= least)
+    return found, counts[found]
+
+
 class Search:
     """T-occurrence search by DivideSkip among the sets of one task.
 
@@ -190,7 +209,7 @@ class Search:
         """Members that link with q: of higher number (or, with ``n_first``, of the others), and those marked in ``lower``.
 
         A member that links with a set of n needs ``needed(n)`` of its tokens, T: q's long lists are set aside; the short
-        ones are merged by a heap of their heads, members with T - (number of long lists) or more stay, and each long list is probed for
+        ones are merged (``merged_counts``), members with T - (number of long lists) or more stay, and each long list is probed for
         them by binary search, dropping who cannot reach T any more. The work goes by the lengths of q's own lists.
         """
         lists, percent, n = self.lists, self.percent, self.n
@@ -205,7 +224,7 @@ class Search:
         order = np.argsort(begin - end, kind="stable")
         begin, sizes = begin[order], (end - begin)[order]
         n_long = divide(sizes, t)
-        found, have = heap_merge([lists.postings[a:b].tolist() for a, b in zip(begin[n_long:], begin[n_long:] + sizes[n_long:], strict=True)], t - n_long)
+        found, have = merged_counts(lists.postings, begin[n_long:], sizes[n_long:], len(n), t - n_long)
         fits = (100 * n[found] >= percent * n[q]) & (percent * n[found] <= 100 * n[q])
         if lower is not None:
             fits &= (found > q) | (lower[found] & (found != q))

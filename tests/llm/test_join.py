@@ -215,4 +215,8 @@ def test_heap_merge_counts_members():
             found, have = jj.heap_merge(lists, least)
             want = {m: n for m in range(40) if (n := sum(m in x for x in lists)) >= least}
             assert dict(zip(found.tolist(), have.tolist(), strict=True)) == want and found.tolist() == sorted(want)
+        flat, sizes = np.array([x for y in lists for x in y]), np.array([len(y) for y in lists])
+        for n in (40, 400):  # counted, merged
+            found, have = jj.merged_counts(flat, np.cumsum(sizes) - sizes, sizes, n, 2)
+            assert dict(zip(found.tolist(), have.tolist(), strict=True)) == {m: k for m in range(40) if (k := sum(m in x for x in lists)) >= 2}
     assert jj.heap_merge([], 1)[0].size == 0
