@@ -60,7 +60,7 @@ _SCRIPT_DATE = "CASE k WHEN 0 THEN d || ' March ' || y WHEN 1 THEN d || '/3/' ||
 
 def _script_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letters: the date with the month's name, labelled in Hindi, unlabelled, or none; senders with a greeting, known ones, others."""
-    p, key = m.table(spark, sf_dir, "part"), F.col("p_partkey")
+    p, key = m.parts(spark, sf_dir), F.col("p_partkey")
     day, year = (1 + key % 28).cast("string"), (2001 + key % 20).cast("string")
     k = key % 4
     sender = F.when(k == 1, "जारीकर्ता: श्रीमान District Magistrate, Patna").when(k == 2, "sent to all by the BSEB today").otherwise(F.concat(F.lit("Issued by - "), "p_brand", F.lit(" works")))
