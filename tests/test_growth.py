@@ -15,6 +15,11 @@ def test_script_fields_match_each_pattern_once(spark):
     assert [text.count(x) for x in (r"issued\s*by", r"[^\r\n]{5,500}", r"required\s*action")] == [1, 2, 1]
 
 
+def test_intelligence_reads_a_text_once(spark):
+    text = plan(spark, ex.document_intelligence(F.col("t"), offices={"east": ["East Office"], "west": ["West Office"]}))
+    assert text.count("split(") == 1 and text.count("East Office") == 1
+
+
 def test_parts_are_dealt_whatever_their_row_groups(spark, tmp_path):
     rows = spark.range(1000).select(F.col("id").alias("p_partkey"), *[F.concat(F.lit("n"), "id").alias(c) for c in ("p_name", "p_brand", "p_type")])
     rows.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
