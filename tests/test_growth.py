@@ -24,6 +24,11 @@ def test_authority_of_a_header_is_found_once(spark):
     assert plan(spark, ex.header_authority(F.split("t", "\n"), ["office of the"])).count("office of the") == 1
 
 
+def test_labelled_values_are_found_once(spark):
+    assert plan(spark, ex.deadline(F.col("t"))).count(r"last\s*date") == 1
+    assert plan(spark, ex.reference_number(F.split("t", "\n"))).count("memo no") == 2  # whether a line has the label, and what follows it
+
+
 def test_parts_are_dealt_whatever_their_row_groups(spark, tmp_path):
     rows = spark.range(1000).select(F.col("id").alias("p_partkey"), *[F.concat(F.lit("n"), "id").alias(c) for c in ("p_name", "p_brand", "p_type")])
     rows.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
