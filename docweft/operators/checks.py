@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docweft.functions.text import once
+
 REQUIRED_RESULT_KEYS = ["schema_version", "text", "normalized_text", "filename", "pages", "ocr"]
 
 #: The closed contract of an extraction result: field -> (kind, required, allowed values or least number).
@@ -49,8 +51,11 @@ def release_gate(results: DataFrame, *, json_col: str = "result", required: Sequ
 
 def contract_violations(json_text: Column, contract: Mapping[str, tuple[str, bool, object]] = RESULT_CONTRACT) -> Column:
     """Array of ``rule:field`` that a json result breaks: required, type, enum, minimum, additional keys, or ``not_json``."""
-    value = F.try_parse_json(json_text)
-    keys = F.json_object_keys(json_text)
+    both = lambda j: F.struct(j.alias("text"), F.try_parse_json(j).alias("value"), F.json_object_keys(j).alias("keys"))
+    return once(once(json_text, both), lambda x: _broken(x["text"], x["value"], x["keys"], contract))
+
+
+def _broken(json_text: Column, value: Column, keys: Column, contract: Mapping[str, tuple[str, bool, object]]) -> Column:
     made = [F.when(value.isNull() | keys.isNull(), "not_json")]
     for field, (kind, required, limit) in contract.items():
         there = F.array_contains(keys, field)
@@ -63,10 +68,9 @@ def contract_violations(json_text: Column, contract: Mapping[str, tuple[str, boo
             "integer?": found.isin("BIGINT", "VOID"), "boolean": found == "BOOLEAN",
         }[kind]
         made.append(F.when(there & ~allowed, f"type:{field}"))
-        text = F.get_json_object(json_text, f"$.{field}")
         if isinstance(limit, list):
-            made.append(F.when(there & allowed & ~text.isin(*limit), f"enum:{field}"))
+            made.append(F.when(there & ~F.try_variant_get(value, f"$.{field}", "string").isin(*limit) & allowed, f"enum:{field}"))
         elif limit is not None:
-            made.append(F.when(there & (text.try_cast("double") < limit), f"minimum:{field}"))
+            made.append(F.when(there & (F.get_json_object(json_text, f"$.{field}").try_cast("double") < limit), f"minimum:{field}"))
     extra = F.transform(F.array_except(keys, F.array(*map(F.lit, contract))), lambda k: F.concat(F.lit("additional:"), k))
     return F.array_compact(F.concat(F.array(*made), F.coalesce(extra, F.array().cast("array<string>"))))
