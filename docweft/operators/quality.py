@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweft.functions.text import strip
+from docweft.functions.text import once, strip
 
 #: Texts of more characters are compared bit-parallel in Python, in tasks of their own, instead of by Spark's own function.
 LONGEST = 5000
@@ -70,16 +70,16 @@ def word_edits(actual: Column, expected: Column) -> Column:
 
     A word of one text alone matches nothing, whichever it is, so the distance is that of the word lists. Null where either is null.
     """
-    a, b = words(actual), words(expected)
-    common = F.array_intersect(a, b)
-    symbol = lambda i: F.lpad(F.hex(i), 8, "0")
-    codes = F.map_from_arrays(common, F.transform(common, lambda w, i: symbol(i + 0x10002)))
+    symbol = lambda place, other: F.when(place > 0, F.lpad(F.hex(place + 0x10001), 8, "0")).otherwise(f"{other:08x}")
 
-    def coded(of: Column, other: int) -> Column:
-        each = F.transform(of, lambda w: F.coalesce(F.try_element_at(codes, w), F.lit(f"{other:08x}")))
+    def coded(of: Column, common: Column, other: int) -> Column:
+        each = F.transform(of, lambda w: once(F.array_position(common, w), lambda place: symbol(place, other)))
         return F.decode(F.unhex(F.array_join(each, "")), "UTF-32")
 
-    return F.levenshtein(coded(a, 0x10000), coded(b, 0x10001)).cast("long")
+    # the words and those in common are worked out once a pair, not once a word
+    both = F.struct(words(actual).alias("a"), words(expected).alias("b"))
+    lists = once(both, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.array_intersect(x["a"], x["b"]).alias("common")))
+    return once(lists, lambda x: F.levenshtein(coded(x["a"], x["common"], 0x10000), coded(x["b"], x["common"], 0x10001)).cast("long"))
 
 
 def rate(edits: Column, length: Column) -> Column:

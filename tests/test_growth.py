@@ -1,7 +1,7 @@
 """What a row costs and how rows are dealt, so that a larger table takes no more than its share."""
 
 from docweft.functions import extract as ex
-from docweft.operators import checks
+from docweft.operators import checks, quality
 from docweft.plans import model as m
 from pyspark.sql import functions as F
 
@@ -34,6 +34,10 @@ def test_contract_parses_a_result_once(spark):
     assert plan(spark, checks.contract_violations(F.col("t"))).count("parse_json(") <= 1
 
 
+def test_words_of_a_pair_are_split_once(spark):
+    assert plan(spark, quality.word_edits(F.col("t"), F.concat("t", F.lit("y")))).count("split(") == 2
+
+
 def test_parts_are_dealt_whatever_their_row_groups(spark, tmp_path):
     rows = spark.range(1000).select(F.col("id").alias("p_partkey"), *[F.concat(F.lit("n"), "id").alias(c) for c in ("p_name", "p_brand", "p_type")])
     rows.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
