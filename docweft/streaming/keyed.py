@@ -7,6 +7,7 @@ Each stateful form has a batch function beside it that gives the same rows over
 from __future__ import annotations
 
 import datetime
+import json
 from collections.abc import Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
@@ -45,7 +46,8 @@ def stall_periods(rows: DataFrame, key: str, at: str, status: str, tie: str, lim
 
 
 class Watchdog(StatefulProcessor):
-    """One key's open rows; a timer at each deadline.
+    """One key's open rows; a timer at the earliest deadline, which sets the next one when it has passed (a call to the state's server
+    for each row would cost far more than the row).
 
     Rows wait in the state until they are decided: a row with a successor within its limit is on time, one whose deadline the watermark
     has passed without a successor has stalled and is given out once. Decided rows leave the state when the watermark passes them, so a
@@ -58,7 +60,7 @@ class Watchdog(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "at long, tie long, status string")
+        self.open = handle.getValueState("open", "rows string")  # as one value: each row of a list state is converted on its own
 
     def _deadline(self, row: tuple) -> int | None:
         return None if row[2] not in self.limits else row[0] + self.limits[row[2]]
@@ -67,31 +69,43 @@ class Watchdog(StatefulProcessor):
         end = self._deadline(rows[i])
         return end is None or (i + 1 < len(rows) and rows[i + 1][0] <= end)
 
+    def _ends(self, rows: list[tuple]) -> set[int]:
+        """Times at which a row is decided or the last can go."""
+        return {rows[-1][0]} | {self._deadline(r) for i, r in enumerate(rows) if not self._on_time(rows, i)}
+
+    def _rows(self) -> list[tuple]:
+        """Open rows (at, tie, status) in order."""
+        held = self.open.get()
+        return [] if held is None else [tuple(r) for r in json.loads(held[0])]
+
     def _keep(self, rows: list[tuple]) -> None:
         if rows:
-            self.open.put(rows)
+            self.open.update((json.dumps(rows),))
         else:
             self.open.clear()
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        before = [tuple(r) for r in self.open.get()]
+        before = self._rows()
         now = sorted({*before, *((r["_at"], r["_tie"], r["_status"]) for r in rows)})
-        ends = {now[-1][0]} | {self._deadline(r) for i, r in enumerate(now) if not self._on_time(now, i)}
-        for end in ends - {self._deadline(r) for r in before}:
-            self.handle.registerTimer(-(-end // 1000))
-        self._keep(now)
+        self.handle.registerTimer(-(-min(self._ends(now)) // 1000))  # one that stands already stays
+        if now != before:
+            self._keep(now)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows, kept, out = sorted(tuple(r) for r in self.open.get()), [], []
+        rows, kept, out = self._rows(), [], []
         for i, r in enumerate(rows):
             decided, end = self._on_time(rows, i), self._deadline(r)
             if not decided and end <= passed:
                 out.append(Row(key=key[0], status=r[2], at=r[0], deadline=end))
             elif not decided or r[0] > passed:
                 kept.append(r)
-        self._keep(kept)
+        if kept != rows:
+            self._keep(kept)
+        ends = {end for end in self._ends(kept) if end > passed} if kept else set()
+        if ends:
+            self.handle.registerTimer(-(-min(ends) // 1000))
         return iter(out)
 
     def close(self) -> None:
@@ -136,17 +150,22 @@ class Deliveries(StatefulProcessor):
         self.delivery = handle.getValueState("delivery", DELIVERY)
         # the stored time decides; the time to live only clears what can matter no more, and late batches get as long as event ids
         self.lease = handle.getValueState("lease", "at long", self.lease_micros // 1000 + self.remember)
-        self.seen = handle.getMapState("seen", "event_id long", "at long", self.remember)
+        # one list read and one appended to a batch: a look-up for each event would be a call to the state's server each
+        self.seen = handle.getListState("seen", "event_ids array<long>", self.remember)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        new = {r["event_id"]: r for r in rows if not self.seen.containsKey((r["event_id"],))}
+        new = {r["event_id"]: r for r in rows}
+        for (event_ids,) in self.seen.get():
+            for event_id in event_ids:
+                new.pop(event_id, None)
         if not new:
             return
-        d = list(self.delivery.get()) if self.delivery.exists() else [None, 0, None, None, None, None, None, None, None]
-        leased = self.lease.get()[0] if self.lease.exists() else None
+        d, lease = self.delivery.get(), self.lease.get()
+        d = [None, 0, None, None, None, None, None, None, None] if d is None else list(d)
+        before = leased = None if lease is None else lease[0]
+        self.seen.appendValue((list(new),))
         for r in sorted(new.values(), key=lambda r: (r["_at"], r["event_id"])):
             at, tie, action = r["_at"], r["event_id"], r["action"]
-            self.seen.updateValue((tie,), (at,))
             granted = action == "claim" and d[0] != "sent" and not (leased is not None and leased > at - self.lease_micros)
             newest = d[7] is None or (at, tie) > (d[7], d[8])
             if granted:
@@ -164,10 +183,10 @@ class Deliveries(StatefulProcessor):
                 resumable=d[2] is not None and d[0] != "sent", first_attempt_at=d[5], last_attempt_at=d[6],
             )
         self.delivery.update(tuple(d))
-        if leased is None:
-            self.lease.clear()
-        else:
+        if leased is not None:
             self.lease.update((leased,))
+        elif before is not None:
+            self.lease.clear()
 
     def close(self) -> None:
         pass
