@@ -1,8 +1,13 @@
 """What a row costs and how rows are dealt, so that a larger table takes no more than its share."""
 
+import random
+
+import pytest
 from docweft.functions import extract as ex
-from docweft.operators import checks, quality
+from docweft.operators import checks, layout, quality
+from docweft.plans import file_queries, queries  # noqa: F401  registers its queries
 from docweft.plans import model as m
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
@@ -44,3 +49,39 @@ def test_parts_are_dealt_whatever_their_row_groups(spark, tmp_path):
     rows.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     held = m.parts(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
     assert len(held) >= spark.sparkContext.defaultParallelism and sum(r["count"] for r in held) == 1000
+
+
+REGION = "doc_id int, page int, id int, x1 int, y1 int, x2 int, y2 int"
+
+
+def by_windows(regions):
+    """The reading order by windows and a join, as a check."""
+    placed = layout.columns(regions).join(layout.lines(regions), ["doc_id", "page", "id"])
+    by_page = Window.partitionBy("doc_id", "page")
+    placed = placed.withColumn("one", F.max("line").over(by_page) == 0)
+    by_column = (F.col("column_count") >= 2) & ~F.col("one")
+    by_place = by_column | F.col("one")
+    keys = [F.when(by_column, F.col("column")).otherwise(0), F.when(by_place, F.col("y1")).otherwise(F.col("line")), F.when(by_place, F.col("x1")).otherwise(F.col("place")), F.col("id")]
+    return placed.withColumn("position", F.row_number().over(by_page.orderBy(*keys)) - 1)
+
+
+def test_reading_places_are_those_of_rows(spark):
+    rng, rows = random.Random(3), []
+    for doc in range(300):
+        for i in range(rng.randrange(1, 12)):
+            x, y = rng.choice([10, 14, 120, 250, 400]) + rng.randrange(6), rng.randrange(rng.choice([8, 60, 200]))
+            rows.append((doc % 150, doc // 150, i, None if rng.random() < 0.02 else x, y, x + rng.randrange(90), y + rng.randrange(25)))
+    regions = spark.createDataFrame(rows, REGION)
+    names = ["doc_id", "page", "id", "line", "place", "column", "column_count", "position"]
+    want = by_windows(regions).select(*names)
+    found = layout.reading_places(regions)
+    assert sorted(map(tuple, found.select(*names).collect())) == sorted(map(tuple, want.collect())) and found.count() == len(rows)
+    assert {r.column_count for r in want.select("column_count").collect()} >= {1, 2, 3}
+    summaries = lambda d: sorted((r.doc_id, r.page, r.region_count, r.line_count, r.column_count, r.multi_column, r.reading_order) for r in d.collect())
+    assert summaries(layout.page_summaries(regions)) == summaries(layout.layout_summary(layout.reading_order(regions)))
+
+
+@pytest.mark.parametrize("name", ["layout_summaries", "page_lines", "shared_page_lines"])
+def test_layouts_read_regions_once_and_join_nothing(spark, name):
+    text = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") == 1 and "Join" not in text and text.count("Exchange") == 2
