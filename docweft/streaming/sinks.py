@@ -33,6 +33,10 @@ def _table(spark: SparkSession, path: str, name: str, schema: T.StructType) -> D
     return spark.read.schema(T.StructType([*schema.fields, T.StructField("run", T.StringType()), T.StructField("batch", T.LongType())])).parquet(f"{path}/{name}")
 
 
+#: Rows of a batch, and keys known before, that one task sorts to find keys that come twice.
+TASK_ROWS = 250_000
+
+
 def late_writer(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], at: str, delay_minutes: int = 60) -> Callable[[DataFrame, int], None]:
     """A writer for ``run_available`` that parts each batch into ``on_time`` and ``late`` rows, each key once in both together.
 
@@ -41,6 +45,9 @@ def late_writer(spark: SparkSession, path: str, schema: T.StructType, keys: Sequ
     and the batch's number, in each table: a repeated batch overwrites what it wrote and looks only at the others' rows. Known keys are looked up in
     rows from ``delay_minutes`` before the batch's oldest row on (the bound reaches the scan), so a resent row is known while its time
     is within that of the first. Rows with a null key part have no identity and are kept each time they come.
+
+    A batch and the known keys are dealt by key into parts of about ``TASK_ROWS`` rows of both, so more rows make more tasks, not larger
+    ones. All rows of one key meet in one part, as they must; its sort spills.
     """
     names = schema.fieldNames()
 
@@ -49,14 +56,16 @@ def late_writer(spark: SparkSession, path: str, schema: T.StructType, keys: Sequ
         own = (F.col("run") == run) & (F.col("batch") == number)
         folder = f"run={run}/batch={number}"
         newest = _table(spark, path, "newest", T.StructType([T.StructField("at", schema[at].dataType)])).where(~own).agg(F.max("at")).first()[0]
-        oldest, last = batch.agg(F.min(at), F.max(at)).first()
+        oldest, last, count = batch.agg(F.min(at), F.max(at), F.count(F.lit(1))).first()
         delay = F.make_dt_interval(mins=F.lit(delay_minutes))
         bound = F.lit(newest).cast(schema[at].dataType) - delay
         since = F.col(at) >= F.lit(oldest).cast(schema[at].dataType) - delay
         late = F.coalesce(F.col(at) < bound, F.lit(False))
         on_time, behind = (_table(spark, path, name, schema).where(~own & since).select(*keys) for name in ("on_time", "late"))
-        keyed = batch.select(*names).dropDuplicates(list(keys))
         known = on_time.unionByName(behind)
+        parts = max(1, -(-(count + known.count()) // TASK_ROWS))
+        known = known.repartition(parts, *keys)
+        keyed = batch.select(*names).repartition(parts, *keys).dropDuplicates(list(keys))
         for name, rows in (("on_time", keyed.where(~late)), ("late", keyed.where(late))):
             rows.join(known, list(keys), "left_anti").select(*names).write.mode("overwrite").parquet(f"{path}/{name}/{folder}")
         top = max((x for x in (newest, last) if x is not None), default=None)

@@ -1,5 +1,6 @@
 """What a row costs and how rows are dealt, so that a larger table takes no more than its share."""
 
+import glob
 import random
 
 import pytest
@@ -7,6 +8,7 @@ from docweft.functions import extract as ex
 from docweft.operators import checks, layout, quality
 from docweft.plans import file_queries, queries  # noqa: F401  registers its queries
 from docweft.plans import model as m
+from docweft.streaming import sinks
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -85,3 +87,17 @@ def test_reading_places_are_those_of_rows(spark):
 def test_layouts_read_regions_once_and_join_nothing(spark, name):
     text = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert text.count("FileScan") == 1 and "Join" not in text and text.count("Exchange") == 2
+
+
+def test_late_rows_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "TASK_ROWS", 50, raising=False)
+    rows = spark.range(1000).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 60).alias("ts"))
+    write = sinks.late_writer(spark, str(tmp_path), rows.schema, ["event_id"], "ts")
+    write(rows.unionByName(rows).coalesce(1), 0)
+    files = lambda name, batch: len(glob.glob(f"{tmp_path}/{name}/run=*/batch={batch}/*.parquet"))
+    assert files("on_time", 0) >= 20
+    # few new rows, one of them old: the keys known since then are dealt too
+    late = spark.range(30).select((F.col("id") + 990).alias("event_id"), F.timestamp_seconds(F.when(F.col("id") == 29, 0).otherwise(F.col("id") + 990) * 60).alias("ts"))
+    write(late, 1)
+    found = sorted((r.event_id, r.late) for r in sinks.parted(spark, str(tmp_path), rows.schema).collect())
+    assert found == [(i, i == 1019) for i in range(1020)] and files("on_time", 1) >= 4
