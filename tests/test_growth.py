@@ -101,3 +101,9 @@ def test_late_rows_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
     write(late, 1)
     found = sorted((r.event_id, r.late) for r in sinks.parted(spark, str(tmp_path), rows.schema).collect())
     assert found == [(i, i == 1019) for i in range(1020)] and files("on_time", 1) >= 4
+
+
+def test_counts_of_a_layout_work_no_columns_out(spark):
+    pages = layout.page_summaries(spark.createDataFrame([(1, 1, 1, 0, 0, 1, 1)], REGION))
+    plan_of = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    assert "reach" in plan_of(pages) and "reach" not in plan_of(pages.select("doc_id", "page", "region_count", "line_count"))
