@@ -2,9 +2,12 @@
 
 import glob
 import random
+import re
 
 import pytest
 from docweft.functions import extract as ex
+from docweft.functions import fixed_values as fixed
+from docweft.functions import text as tx
 from docweft.operators import checks, layout, quality
 from docweft.plans import file_queries, queries  # noqa: F401  registers its queries
 from docweft.plans import model as m
@@ -53,6 +56,54 @@ def test_parts_are_dealt_whatever_their_row_groups(spark, tmp_path):
     assert len(held) >= spark.sparkContext.defaultParallelism and sum(r["count"] for r in held) == 1000
 
 
+def test_parts_are_dealt_by_their_number(spark, tmp_path):
+    rows = spark.range(300_000).select(F.col("id").alias("p_partkey"), *[F.lit("n").alias(c) for c in ("p_name", "p_brand", "p_type")])
+    rows.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    held = [r["count"] for r in m.parts(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(held) == 300_000 and max(held) <= 51_000
+
+
+def test_words_of_a_text_are_looked_for_without_case_once(spark):
+    text = plan(spark, ex.priority(F.col("t")), ex.category(F.col("t")))
+    assert text.count("(?iu)") == 0 and text.count("lower(") == 2
+
+
+def test_lines_are_cleaned_without_patterns_of_their_own(spark):
+    assert "lambdafunction(regexp_replace" not in plan(spark, tx.text_lines(F.col("t"), strip_signs=True))
+
+
+SEPARATORS = [" ", "  ", ":", "-", "\u2013", "\t", "\n", "\n", "\r", "\r\n", "\x0b", "\f", "\u00a0", "\x85", "\u2028", "\u2029", "\x1c", "", "\u00df"]
+
+
+def odd_texts(words, n=3000):
+    rng = random.Random(5)
+    pieces = [lambda: rng.choice(SEPARATORS), lambda: rng.choice(SEPARATORS), lambda: rng.choice(words)]
+    return ["".join(rng.choice(pieces)() for _ in range(rng.randrange(16))) for _ in range(n)]
+
+
+def test_lines_of_odd_texts(spark):
+    texts = odd_texts(["a", "b c", "\u0935\u093f\u0937\u092f"])
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", "t", tx.text_lines(F.col("t")).alias("a"), tx.text_lines(F.col("t"), strip_signs=True).alias("b"))
+    for r in got.collect():
+        for edge, lines in (("[ \u00a0]", r["a"]), ("[ :\u2013\u2014-]", r["b"])):
+            each = [re.sub(r"\s+", " ", x, flags=re.ASCII) for x in re.split(r"\r\n|[\n\r]", r["t"])]
+            each = [re.sub(rf"^{edge}+|{edge}+(?=[\x85\u2028\u2029]?\Z)", "", x) for x in each]
+            assert lines == [x for x in each if x], ascii(r["t"])
+
+
+def test_words_are_found_as_patterns_without_case_find_them(spark):
+    cascade = [*fixed.CATEGORY_CASCADE, ("K|S", "letters"), (r"e{2}", "no plain pattern")]
+    words = [w.replace(r"\s*", gap) for p, _ in fixed.CATEGORY_CASCADE for w in p.split("|") for gap in ("", " ", "\n")]
+    words += ["B\u017fEB", "PENS\u0130ON", "pens\u0131on", "admi\u00dfion", "\u212a", "fee", "FEe", "x"]
+    cases = [None, *words, *map(str.upper, words), *odd_texts(words, 1000)]
+    by_pattern = F.coalesce(*[F.when(F.col("t").rlike("(?iu)" + p), F.lit(name)) for p, name in cascade], F.lit("Other"))
+    urgent = F.when(F.col("t").rlike("(?iu)" + fixed.URGENT), "HIGH").otherwise("NORMAL")
+    rows = spark.createDataFrame([(t,) for t in cases], "t string")
+    got = rows.select("t", ex.category(F.col("t"), cascade).alias("c"), by_pattern.alias("want"), ex.priority(F.col("t")).alias("p"), urgent.alias("how")).collect()
+    assert [ascii(r["t"]) for r in got if r["c"] != r["want"] or r["p"] != r["how"]] == []
+    assert len({r["c"] for r in got}) == len(cascade) + 1
+
+
 REGION = "doc_id int, page int, id int, x1 int, y1 int, x2 int, y2 int"
 
 
